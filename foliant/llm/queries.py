@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import line_dedup, mixing, packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op7_packing": packing.op7_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_line_dedup": line_dedup.OP8_SQL,
+}
