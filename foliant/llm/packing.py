@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import map_arrow, read, stage
 
 END_ID = 0
 
@@ -212,7 +212,7 @@ def pack_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = stage(slim.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, with_ids), schema))
+    pieces = stage(map_arrow(slim, _pieces(tokenizer or default_tokenizer(), capacity, with_ids), schema))
     # Numbers within a length: places within one stored partition, after all of earlier partitions.
     pieces = pieces.withColumn("_part", F.spark_partition_id())
     counts = pieces.groupBy("length", "_part").count()
@@ -225,7 +225,7 @@ def pack_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbered = numbered.withColumn("_number", F.col("_before") + F.col("_place"))
     own = [c.strip().split(" ")[0] for c in schema.split(", ")]
     places = _places(best_two_fit(histogram, capacity))
-    return numbered.select(*own, "_number").mapInArrow(_placed(places), f"{schema}, sequence_id long, offset long")
+    return map_arrow(numbered.select(*own, "_number"), _placed(places), f"{schema}, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, simhash
+from . import line_dedup, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,

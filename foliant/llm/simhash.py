@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import map_arrow, read, stage
 from .components import connected_components
 
 BITS = 64
@@ -209,7 +209,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, subtrie_rows: int = 20
     pair = F.xxhash64("top", F.least("mine", "other"), F.greatest("mine", "other"))
     tasks = tasks.select(F.when(F.col("chunks") == 1, F.col("top")).otherwise(pair).alias("key"), "turn", "rot")
     tasks = tasks.repartition("key").sortWithinPartitions("key")
-    return tasks.mapInArrow(_forest(radius, max(subtrie_rows, 1)), "u long, v long")
+    return map_arrow(tasks, _forest(radius, max(subtrie_rows, 1)), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, subtrie_rows: int = 200_000) -> DataFrame:
@@ -225,7 +225,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType
-    prints = stage(slim.mapInArrow(_fingerprints(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, fp long"))
+    prints = stage(map_arrow(slim, _fingerprints(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, fp long"))
     first = stage(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(fingerprint_links(first.select("fp"), radius, subtrie_rows))
     member = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("group"))
