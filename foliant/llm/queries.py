@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, simhash, toxicity
+from . import line_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_sharding": sharding.op2_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
