@@ -9,6 +9,8 @@ numbered within their length and look up their bin by number.
 from __future__ import annotations
 
 import functools
+import itertools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,48 +30,89 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII marks that are neither letters, numbers nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins across white space.
 
     The six ASCII white space characters end a token and are dropped by this kind of vocabulary,
-    so ids are kept for each run between them; ``most`` bounds the runs that are kept.
+    so ids are kept for each run between them. Most runs are letters and then marks; their
+    letters, in lower case, are kept apart, and new ones are encoded many in a call: the vocabulary marks
+    a word's last token. Any other run is encoded by itself. ``most`` bounds what is kept.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.parts: dict[str, bytes] = {}
         self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
+    def _alone(self, runs: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in made]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of runs of letters in lower case."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.last[flat]) + 1
+            if len(cut) != len(part) or cut[-1] != len(flat):
+                out += self._alone(part)
+                continue
+            raw, cut = flat.tobytes(), (cut * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
+
     def _learn(self, runs: list[bytes]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))) + self.ends[-1][-1]
+        parts, made, odd, split = self.parts, {}, [], []
         for r in runs:
-            self.at[r] = len(self.at)
-        self.ids.append(np.fromiter((i for m in made for i in m), np.uint32, int(ends[-1] - self.ends[-1][-1])))
-        self.ends.append(ends)
+            w = r.decode("utf-8", "replace")
+            head = w.rstrip(_MARKS)
+            if (w.isascii() or ("\u03a3" not in w and unicodedata.is_normalized("NFC", w))) and (head.isalpha() or not head):
+                split.append((r, head.lower(), w[len(head) :]))
+            else:
+                odd.append((r, w))
+        new = list(dict.fromkeys(h for _, h, _ in split if h and h not in parts))
+        parts.update(zip(new, self._words(new), strict=True))
+        new = list(dict.fromkeys(t for _, _, t in split if t and t not in parts))
+        parts.update(zip(new, self._alone(new), strict=True))
+        parts[""] = b""
+        made = {r: parts[h] + parts[t] for r, h, t in split}
+        made.update(zip([r for r, _ in odd], self._alone([w for _, w in odd]), strict=True))
+        at = len(self.at)
+        self.at.update(zip(made, range(at, at + len(made))))
+        self.ids.append(np.frombuffer(b"".join(made.values()), np.uint32))
+        self.ends.append(np.cumsum(np.fromiter(map(len, made.values()), np.int64, len(made)) // 4) + self.ends[-1][-1])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.at) > self.most:
             self.clear()
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list(dict.fromkeys(r for s in split for r in s if r not in self.at))
+        new = list(set().union(*split).difference(self.at))
         if new:
             self._learn(new)
-        if len(self.ids) > 1:
+        if len(self.ids) > 8:
             self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        ids, ends, get = self.ids[0], self.ends[0], self.at.__getitem__
-        out = []
-        for s in split:
-            k = np.fromiter(map(get, s), np.int64, len(s))
-            size = ends[k + 1] - ends[k]
-            place = np.repeat(ends[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out.append(ids[place])
-        return out
+        ids, ends, get = np.concatenate(self.ids), np.concatenate(self.ends), self.at.__getitem__
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        k = np.fromiter(map(get, itertools.chain.from_iterable(split)), np.int64, int(size.sum()))
+        first, n = ends[k], ends[k + 1] - ends[k]
+        before = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+        cut = before[np.concatenate([[0], np.cumsum(size)])]
+        return [flat[a:b] for a, b in itertools.pairwise(cut.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
