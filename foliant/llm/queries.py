@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, line_dedup, mixing, packing, quality_knn, quality_rules, sharding, simhash, toxicity
+from . import ann, html_text, line_dedup, mixing, packing, quality_knn, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
