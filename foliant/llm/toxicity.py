@@ -157,24 +157,27 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> list[str
     harmless documents hold them.
     """
     pos, neg = Counter(), Counter()
-    grams_of: dict[str, set[str]] = {}
-
-    def marks(bag: set[str]) -> set[str]:
-        out = set()
-        for w in bag:
-            if w not in grams_of:
-                grams_of[w] = {f"^{w}"} | {w[i : i + 4] for i in range(len(w) - 3)}
-            out |= grams_of[w]
-        return out
+
+    def marks(w: str) -> Iterator[str]:
+        yield f"^{w}"
+        for i in range(len(w) - 3):
+            yield w[i : i + 4]
 
     toxic_docs = []
     for bag, label in zip(bags, y, strict=True):
-        m = marks(bag)
-        (pos if label else neg).update(m)
         if label:
+            m = {g for w in bag for g in marks(w)}
+            pos.update(m)
             toxic_docs.append((bag, m))
+    for g in [g for g, n in pos.items() if n < 2]:
+        del pos[g]
+    for _, m in toxic_docs:
+        m.intersection_update(pos)
+    for bag, label in zip(bags, y, strict=True):
+        if not label:
+            neg.update({g for w in bag for g in marks(w) if g in pos})
     n_pos, n_neg = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = {g: math.log((n + 0.1) / (n_pos + 1)) - math.log((neg[g] + 0.5) / (n_neg + 1)) for g, n in pos.items() if n >= 2}
+    odds = {g: math.log((n + 0.1) / (n_pos + 1)) - math.log((neg[g] + 0.5) / (n_neg + 1)) for g, n in pos.items()}
     good = {g for g, o in odds.items() if o > 1.5}
     left, out = toxic_docs, []
     while left and len(out) < most:
@@ -224,7 +227,7 @@ def _logistic(value: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
-def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int = 8, rounds: int = 4) -> Machine:
+def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int = 16, rounds: int = 4) -> Machine:
     """A machine from (text, toxic) pairs. Without both labels it answers the share of toxic ones, 0.5 of none."""
     y = np.array([label for _, label in sample])
     if not len(y) or y.min() == y.max():
@@ -279,7 +282,7 @@ def _scored(machine: Machine):
     return run
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 2000, most_harmless: int = 4000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1500, most_harmless: int = 3000, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with toxicity (double, 0 to 1).
 
     Learns from at most ``most_toxic`` and ``most_harmless`` documents of ``df`` that ``labels``
