@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +97,25 @@ class WordTokens:
         self.ids.append(np.frombuffer(b"".join(made.values()), np.uint32))
         self.ends.append(np.cumsum(np.fromiter(map(len, made.values()), np.int64, len(made)) // 4) + self.ends[-1][-1])
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text ends in them, from 0)."""
         if len(self.at) > self.most:
             self.clear()
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list(set().union(*split).difference(self.at))
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        runs = lists.flatten().dictionary_encode()
+        distinct = runs.dictionary.cast(pa.binary()).to_pylist()
+        new = [r for r in distinct if r not in self.at]
         if new:
             self._learn(new)
         if len(self.ids) > 8:
             self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        ids, ends, get = np.concatenate(self.ids), np.concatenate(self.ends), self.at.__getitem__
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        k = np.fromiter(map(get, itertools.chain.from_iterable(split)), np.int64, int(size.sum()))
+        ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
+        k = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[runs.indices.to_numpy()]
         first, n = ends[k], ends[k + 1] - ends[k]
         before = np.concatenate([[0], np.cumsum(n)])
         flat = ids[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
-        cut = before[np.concatenate([[0], np.cumsum(size)])]
-        return [flat[a:b] for a, b in itertools.pairwise(cut.tolist())]
+        return flat, before[np.concatenate([[0], np.cumsum(size)])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -132,14 +135,25 @@ def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield at, texts[at:]
 
 
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first position, number) of runs of texts with about ``most`` bytes or one text each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(upto):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, to - at
+        at = to
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
         for b in batches:
-            for at, texts in chunks(b.column(1).to_pylist()):
+            for at, n in slices(b.column(1)):
                 row, piece, start, length, crc, held = [], [], [], [], [], []
-                for k, ids in enumerate(tokens(texts)):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                flat, cut = tokens(b.column(1).slice(at, n))
+                for k, (x, y) in enumerate(itertools.pairwise(cut.tolist())):
+                    ids = np.append(flat[x:y], np.uint32(END_ID)).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         part = ids[s : s + capacity]
                         row.append(at + k)
