@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, stage
+from .common import map_arrow, read, stage, WORD
 
 _SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -64,22 +64,31 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], *_MEASURES])
 
 
-def shared_lines(df: DataFrame, host_col: str, text_col: str, key: list[str], most: int, share: float) -> DataFrame:
+def shared_lines(df: DataFrame, host_col: str, text_col: str, key: list[str], most: int, share: float, broadcast_rows: int = 500_000) -> DataFrame:
     """(key..., _shared_words): words in lines that more documents of the host hold than its limit.
 
     The limit is ``most`` documents or ``share`` of the host's documents, if that is more.
     A document's copies of a line count once; its words count as often as the line stands there.
+    Counting combines hashes before the shuffle. Lines above the limit go to every task if
+    they are at most ``broadcast_rows``; beyond that, they are joined by a shuffle.
     """
-    line = F.trim(F.regexp_replace(F.lower("_line"), r"[\p{Punct}\s\d]+", " "))
-    lines = df.where(F.col(text_col).isNotNull()).select(*key, F.col(host_col).alias("_host"), F.explode(F.split(text_col, "\n", -1)).alias("_line"))
-    lines = lines.select(*key, "_host", F.xxhash64(line).alias("_a"), F.xxhash64(F.lit("second"), line).alias("_b"), F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+")).alias("_w"))
-    lines = lines.where("_w > 0")
-    once = lines.groupBy(*key, "_host", "_a", "_b").agg(F.sum("_w").alias("_w"))
-    hosts = df.groupBy(F.col(host_col).alias("_h")).agg(F.count("*").alias("_docs"))
-    counts = once.groupBy("_host", "_a", "_b").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    counts = counts.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).where(F.col("_n") > F.greatest(F.lit(float(most)), share * F.col("_docs")))
-    counts = counts.select(F.col("_h"), F.col("_a").alias("_a2"), F.col("_b").alias("_b2"))
-    hit = once.join(counts, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2")), "left_semi")
+
+    def hashed(x: Column) -> Column:
+        return F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\p{Punct}\s\d]+", " ")))
+
+    # A host is its hash here; null is a host.
+    host = F.coalesce(F.xxhash64(host_col), F.lit(0)).alias("_host")
+    lines = F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(WORD))
+    rows = df.where(F.col(text_col).isNotNull())
+    once = rows.select(host, F.explode(F.array_distinct(F.transform(lines, hashed))).alias("_line"))
+    counts = once.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    hosts = df.groupBy(host).agg(F.count("*").alias("_docs"))
+    hot = counts.join(hosts, "_host").where(F.col("_n") > F.greatest(F.lit(float(most)), share * F.col("_docs")))
+    hot = stage(hot.select("_host", "_line"))
+    every = rows.select(*key, host, F.posexplode(lines).alias("_at", "_text_line"))
+    every = every.select(*key, "_host", "_at", hashed(F.col("_text_line")).alias("_line"), F.regexp_count("_text_line", F.lit(WORD)).alias("_w"))
+    hit = every.join(F.broadcast(hot) if hot.count() <= broadcast_rows else hot, ["_host", "_line"], "left_semi")
+    hit = hit.select(*key, "_at", "_w").distinct()  # rows may repeat
     return hit.groupBy(*key).agg(F.sum("_w").alias("_shared_words"))
 
 
@@ -89,8 +98,8 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     base_failed: under 50 words, or over half of the words in repeated windows of three. A
     document is rejected too if less than ``left`` of its words stay when the lines go that over ``most``
     documents and over ``share`` of the host's documents hold. Null is a host like any other. Null and
-    empty texts have zeros and fail. Rows that repeat id and text get equal results and count as one
-    document. Other columns are not read. Empty in, empty out.
+    empty texts have zeros and fail. Rows that repeat id and text get equal results, and each counts as a
+    document of its host. Other columns are not read. Empty in, empty out.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     longs = [F.lit(0).cast("long").alias(m) for m in _MEASURES]
