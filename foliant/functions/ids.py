@@ -46,9 +46,9 @@ def opaque_id(path: Column, key: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     """1536 -> 1.50 KiB."""
     size, units = n.cast("double"), ["B", "KiB", "MiB", "GiB", "TiB"]
-    out = F.format_string("%.2f PiB", size / float(1024**5))
+    out = F.format_string("%.2f PiB", F.bround(size / float(1024**5), 2))
     for k in reversed(range(len(units))):
-        out = F.when(F.abs(size) < float(1024 ** (k + 1)), F.format_string(f"%.2f {units[k]}", size / float(1024**k))).otherwise(out)
+        out = F.when(F.abs(size) < float(1024 ** (k + 1)), F.format_string(f"%.2f {units[k]}", F.bround(size / float(1024**k), 2))).otherwise(out)
     return out
 
 

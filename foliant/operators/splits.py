@@ -83,6 +83,6 @@ def leakage_safe_split(
         return pd.DataFrame(out, columns=["split_group", "project_split"])
 
     kind = dict(group.dtypes)["split_group"]
-    assigned = open_.groupBy(F.lit(1)).applyInPandas(assign, f"split_group {kind}, project_split string")
+    assigned = open_.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(assign, f"split_group {kind}, project_split string")
     out = rows.select("id", "split_group").join(assigned, "split_group", "left")
     return out.withColumn("project_split", F.coalesce("project_split", F.lit("unseen_domain_test")))

@@ -35,3 +35,6 @@ def oracle_sql() -> dict[str, str]:
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["rule_field_winners"][0](spark, sf_dir)
+
+
+from foliant.plans import corpus  # noqa: E402, F401  registers its queries
