@@ -13,7 +13,7 @@ def total(x: Column) -> Column:
 def softmax(x: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp((v - top).cast("double") / t))
+    e = F.transform(x, lambda v: F.exp((v.cast("double") - top.cast("double")) / t))
     return F.transform(e, lambda v: v / total(e))
 
 
