@@ -118,6 +118,6 @@ class PageRotation:
 def page_rotation(width: Column, height: Column, degrees: Column) -> PageRotation:
     turn = F.radians(degrees)
     a, b = F.cos(turn), F.sin(turn)
-    new_w = F.ceil(F.round(F.abs(height * b) + F.abs(width * a), 9)).cast("double")
-    new_h = F.ceil(F.round(F.abs(height * a) + F.abs(width * b), 9)).cast("double")
-    return PageRotation(a, b, new_w / 2 - a * width / 2 - b * height / 2, new_h / 2 + b * width / 2 - a * height / 2, new_w, new_h)
+    wide, high = F.abs(a) * width + F.abs(b) * height, F.abs(a) * height + F.abs(b) * width
+    new_w, new_h = (F.greatest(F.lit(1.0), F.ceil(v - 1e-9).cast("double")) for v in (wide, high))
+    return PageRotation(a, b, wide / 2 - a * width / 2 - b * height / 2, high / 2 + b * width / 2 - a * height / 2, new_w, new_h)

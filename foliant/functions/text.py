@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def plain_metric_text(x: Column) -> Column:
@@ -32,25 +33,25 @@ def _folded(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def metric_text(x: pd.Series) -> pd.Series:
     """NFKC, case folded, white space collapsed."""
     return _folded(x).map(lambda t: None if t is None else " ".join(t.split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def annotation_text(x: pd.Series) -> pd.Series:
     """NFKC, case folded, word characters only."""
     return _folded(x).map(lambda t: None if t is None else re.sub(r"\W+", "", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def alignment_text(x: pd.Series) -> pd.Series:
     """NFKC, case folded, word characters and the Thai block."""
     return _folded(x).map(lambda t: None if t is None else re.sub(r"[^\w฀-๿]+", "", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 0 to 1."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import ship_code
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -15,7 +18,13 @@ def query(name: str, sql: str | None = None):
     def keep(fn):
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = (fn, sql)
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
+            return fn(spark, sf_dir)
+
+        _QUERIES[name] = (run, sql)
         return fn
 
     return keep
@@ -37,4 +46,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["rule_field_winners"][0](spark, sf_dir)
 
 
-from foliant.plans import corpus, evaluation  # noqa: E402, F401  registers its queries
+from foliant.plans import corpus, documents, evaluation  # noqa: E402, F401  registers its queries
