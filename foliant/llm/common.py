@@ -2,55 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-from pathlib import Path
-
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import ensure_checkpoint_dir, map_arrow, shared_folder, stage
+
+__all__ = ["WORD", "WS_CLASS", "Seen", "chunks", "ensure_checkpoint_dir", "fresh", "kept", "map_arrow", "map_texts", "read", "shared_folder", "slices", "stage", "string_hashes", "text_columns"]
+
 #: A word is a longest run of characters outside these six (written for regex classes).
 WS_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS_CLASS}]+"
+#: Rows of texts in an Arrow batch: texts are long, and a worker holds a whole batch.
+TEXT_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at the shared folder named in ``spark.checkpoint.dir``.
-
-    A temporary folder is used only by a single-machine session (``local[...]``)
-    that names none; a cluster session without the setting is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master == "local" or sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of this context's checkpoints, which the driver and all executors share."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The files survive lost executors, and nothing upstream is computed twice.
-    Pass only what later steps need: rows are stored uncompressed.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet (extra columns may clash)."""
     taken = {c.lower() for c in df.columns}
@@ -60,9 +36,116 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package's folder on the Python path of the workers."""
-    here, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
-    if here not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [here, env.get("PYTHONPATH")]))
-    return df.mapInArrow(fn, schema)
+def map_texts(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``map_arrow`` over long rows: the session's Arrow batches get ``TEXT_ROWS`` rows at most from here on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return map_arrow(df, fn, schema)
+
+
+def text_columns(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """The columns ``keep`` and, where it isn't one of them, the text after them."""
+    return df.select(*keep, *([] if text_col in keep else [text_col]))
+
+
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A worker process's one model or cache: made at its first use, dropped when another is asked for.
+
+    Tasks of one operator that run in a worker share it; the next operator starts with its memory free.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(first position, run of texts) with about ``most`` characters or one text in each run."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > most:
+            yield at, texts[at:i]
+            at, size = i, 0
+        size += len(t or "") + 1
+    if texts:
+        yield at, texts[at:]
+
+
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first position, number) of runs of texts with about ``most`` bytes or one text each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(upto):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, to - at
+        at = to
+
+
+WIDE = 32
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def string_hashes(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, short): two independent 64-bit hashes of each string, good where it has ``WIDE`` bytes at most."""
+    if pa.types.is_large_string(x.type):
+        x = x.cast(pa.string())
+    n = len(x)
+    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + n + 1].astype(np.int64)
+    size = np.diff(ends)
+    short = size <= WIDE
+    wide = np.zeros((n, WIDE), np.uint8)
+    row = np.repeat(np.arange(n), np.where(short, size, 0))
+    first = np.cumsum(np.where(short, size, 0)) - np.where(short, size, 0)
+    into = np.arange(len(row)) - first[row]
+    if len(row):
+        wide[row, into] = np.frombuffer(x.buffers()[2], np.uint8)[ends[:-1][row] + into]
+    words = wide.view(np.uint64)
+    out = []
+    for mix in (_MIX[:4], _MIX[4:]):
+        h = size.astype(np.uint64) * mix[3]
+        for k in range(WIDE // 8):
+            h = (h ^ words[:, k]) * mix[k]
+            h ^= h >> np.uint64(29)
+            h *= mix[(k + 1) % 4]
+            h ^= h >> np.uint64(32)
+        out.append(h)
+    return out[0], out[1], short
+
+
+class Seen:
+    """Values of strings, found by 128 bits of hash: some twenty bytes a string and no Python objects."""
+
+    def __init__(self, kind: type):
+        self.h1, self.h2, self.value = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, kind)
+
+    def __len__(self) -> int:
+        return len(self.value)
+
+    def values(self, x: pa.Array, learn: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+        """Values of distinct strings; ``learn`` gives those of the strings that are new. Strings over ``WIDE`` bytes stay new."""
+        h1, h2, short = string_hashes(x)
+        known = np.zeros(len(x), bool)
+        out = np.zeros(len(x), np.result_type(self.value, np.int64))
+        if len(self):
+            at = np.minimum(np.searchsorted(self.h1, h1), len(self) - 1)
+            known = short & (self.h1[at] == h1) & (self.h2[at] == h2)
+            out[known] = self.value[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = learn(x.take(pa.array(new)))
+            new = new[short[new]]
+            new = new[np.argsort(h1[new], kind="stable")]
+            at = np.searchsorted(self.h1, h1[new])
+            self.h1, self.h2, self.value = np.insert(self.h1, at, h1[new]), np.insert(self.h2, at, h2[new]), np.insert(self.value, at, out[new].astype(self.value.dtype))
+        return out

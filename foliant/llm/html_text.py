@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read
+from .common import chunks, kept, map_texts, read
 from .html_blocks import Contexts, blocks, labelled_page, text_features
-from .packing import chunks
 
 
 def place_features(i: int, n: int) -> list[str]:
@@ -170,9 +169,12 @@ def default_field(pages: int = 400) -> Field:
 
 
 def _extracted(model: Field):
+    key = ("html", len(model.index), float(model.emit.sum()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(key, lambda: model)
         for b in batches:
-            texts = [t for _, part in chunks(b.column(b.num_columns - 1).to_pylist()) for t in model.texts(part)]
+            texts = [t for _, part in chunks(b.column(b.num_columns - 1).to_pylist()) for t in own.texts(part)]
             columns = [*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-1], "_text", "_n"])
 
@@ -189,7 +191,7 @@ def extract_text(df: DataFrame, html_col: str = "html", model: Field | None = No
     keep = [c for c in (keep or df.columns) if c not in ("text", "n_chars") and (keep or c != html_col)]
     slim = df.select(*keep, F.col(html_col).alias("_html"))
     schema = slim.select(*keep, F.lit("").alias("_text"), F.lit(0).cast("long").alias("_n")).schema
-    out = map_arrow(slim, _extracted(model or default_field()), schema)
+    out = map_texts(slim, _extracted(model or default_field()), schema)
     return out.withColumnsRenamed({"_text": "text", "_n": "n_chars"})
 
 

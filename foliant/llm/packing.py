@@ -8,9 +8,7 @@ numbered within their length and look up their bin by number.
 
 from __future__ import annotations
 
-import functools
 import itertools
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, stage
+from .common import Seen, kept, map_arrow, map_texts, read, slices, stage
 
 END_ID = 0
 
@@ -31,20 +29,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: ASCII marks that are neither letters, numbers nor white space.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A run of Latin letters that lower-case and compose one by one (so not U+0130), and then ASCII marks.
+_PLAIN = r"^(?P<head>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17E}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+
+
+class Pieces:
+    """Token ids of many strings in flat arrays, besides a table of their numbers.
+
+    String number k has ids[ends[k]:ends[k + 1]]; number 0 is empty.
+    """
+
+    def __init__(self):
+        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(2, np.int64)]
+        self.seen = Seen(np.int32)
+        self.size = 1
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new strings."""
+        self.ids.append(ids)
+        self.ends.append(np.cumsum(sizes) + self.ends[-1][-1])
+        self.size += len(sizes)
+        return np.arange(self.size - len(sizes), self.size)
+
+    def gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings k in a row, where each begins and the last ends)."""
+        if len(self.ids) > 1:
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        first, n = self.ends[0][k], self.ends[0][k + 1] - self.ends[0][k]
+        before = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[0][np.repeat(first - before[:-1], n) + np.arange(before[-1])], before
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins across white space.
 
     The six ASCII white space characters end a token and are dropped by this kind of vocabulary,
-    so ids are kept for each run between them. Most runs are letters and then marks; their
+    so ids are kept for each run between them. Most runs are Latin letters and then marks; their
     letters, in lower case, are kept apart, and new ones are encoded many in a call: the vocabulary marks
-    a word's last token. Any other run is encoded by itself. ``most`` bounds what is kept.
+    a word's last token. Any other run is encoded by itself. Runs of over ``WIDE`` bytes are not kept; ``most`` bounds the rest.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -54,100 +79,63 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.parts: dict[str, bytes] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.runs, self.parts = Pieces(), Pieces()
 
-    def _alone(self, runs: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in made]
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of runs of letters in lower case."""
-        out: list[bytes] = []
+        ids, sizes = [], []
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
             flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.last[flat]) + 1
             if len(cut) != len(part) or cut[-1] != len(flat):
-                out += self._alone(part)
-                continue
-            raw, cut = flat.tobytes(), (cut * 4).tolist()
-            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-        return out
-
-    def _learn(self, runs: list[bytes]) -> None:
-        parts, made, odd, split = self.parts, {}, [], []
-        for r in runs:
-            w = r.decode("utf-8", "replace")
-            head = w.rstrip(_MARKS)
-            if (w.isascii() or ("\u03a3" not in w and unicodedata.is_normalized("NFC", w))) and (head.isalpha() or not head):
-                split.append((r, head.lower(), w[len(head) :]))
+                flat, n = self._encoded(part)
             else:
-                odd.append((r, w))
-        new = list(dict.fromkeys(h for _, h, _ in split if h and h not in parts))
-        parts.update(zip(new, self._words(new), strict=True))
-        new = list(dict.fromkeys(t for _, _, t in split if t and t not in parts))
-        parts.update(zip(new, self._alone(new), strict=True))
-        parts[""] = b""
-        made = {r: parts[h] + parts[t] for r, h, t in split}
-        made.update(zip([r for r, _ in odd], self._alone([w for _, w in odd]), strict=True))
-        at = len(self.at)
-        self.at.update(zip(made, range(at, at + len(made))))
-        self.ids.append(np.frombuffer(b"".join(made.values()), np.uint32))
-        self.ends.append(np.cumsum(np.fromiter(map(len, made.values()), np.int64, len(made)) // 4) + self.ends[-1][-1])
+                n = np.diff(cut, prepend=0)
+            ids.append(flat)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _of_parts(self, x: pa.Array, encode) -> np.ndarray:
+        coded = x.dictionary_encode()
+        k = self.parts.seen.values(coded.dictionary, lambda new: self.parts.add(*encode(new.to_pylist())))
+        return k[coded.indices.to_numpy()]
+
+    def _learn(self, runs: pa.Array) -> np.ndarray:
+        split = pc.extract_regex(runs, _PLAIN)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(runs), np.int64)
+        if plain.any():
+            split = split.filter(pa.array(plain))
+            head = self._of_parts(pc.utf8_lower(split.field("head")), self._words)
+            tail = self._of_parts(split.field("tail"), self._encoded)
+            ids, before = self.parts.gather(np.stack([head, tail], 1).ravel())
+            n = np.diff(before)
+            out[plain] = self.runs.add(ids, n[0::2] + n[1::2])
+        if not plain.all():
+            out[~plain] = self.runs.add(*self._encoded(runs.filter(pa.array(~plain)).to_pylist()))
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, where each text ends in them, from 0)."""
-        if len(self.at) > self.most:
+        """(ids of all texts in a row, where each text begins and the last ends)."""
+        if self.runs.size > self.most or self.parts.size > self.most:
             self.clear()
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        runs = lists.flatten().dictionary_encode()
-        distinct = runs.dictionary.cast(pa.binary()).to_pylist()
-        new = [r for r in distinct if r not in self.at]
-        if new:
-            self._learn(new)
-        if len(self.ids) > 8:
-            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
-        k = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[runs.indices.to_numpy()]
-        first, n = ends[k], ends[k + 1] - ends[k]
-        before = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+        coded = lists.flatten().dictionary_encode()
+        k = self.runs.seen.values(coded.dictionary, self._learn)[coded.indices.to_numpy()]
+        flat, before = self.runs.gather(k)
         return flat, before[np.concatenate([[0], np.cumsum(size)])]
 
 
-@functools.lru_cache(maxsize=2)
-def _tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
-def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """(first position, run of texts) with about ``most`` characters or one text in each run."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > most:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t or "") + 1
-    if texts:
-        yield at, texts[at:]
-
-
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """(first position, number) of runs of texts with about ``most`` bytes or one text each."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    at = 0
-    while at < len(upto):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
-        yield at, to - at
-        at = to
-
-
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        tokens = kept(("tokens", path), lambda: WordTokens(path))
         for b in batches:
             for at, n in slices(b.column(1)):
                 row, piece, start, length, crc, held = [], [], [], [], [], []
@@ -169,6 +157,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     columns.append(pa.array(held, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -269,7 +258,7 @@ def pack_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = stage(map_arrow(slim, _pieces(tokenizer or default_tokenizer(), capacity, with_ids), schema))
+    pieces = stage(map_texts(slim, _pieces(tokenizer or default_tokenizer(), capacity, with_ids), schema))
     # Numbers within a length: places within one stored partition, after all of earlier partitions.
     pieces = pieces.withColumn("_part", F.spark_partition_id())
     counts = pieces.groupBy("length", "_part").count()

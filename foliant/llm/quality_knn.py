@@ -9,19 +9,18 @@ The labelled vectors are bounded by a parameter, so they go to every task.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read
+from .common import Seen, kept, map_texts, read, slices, text_columns
 from .labelled import held_out, labelled_sample
-from .packing import chunks
 
 WORDS, SHAPES = 4096, 1023
 TERMS = WORDS + SHAPES + 1
@@ -39,21 +38,28 @@ def shape(word: str) -> str:
 class Terms:
     """Term numbers of texts; those of words seen before are kept, ``most`` at most."""
 
-    def __init__(self, most: int = 500_000):
-        self.most, self.at = most, {}
+    def __init__(self, most: int = 2_000_000):
+        self.most, self.seen = most, Seen(np.int64)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def _learn(words: pa.Array) -> np.ndarray:
+        words = words.to_pylist()
+        a = np.fromiter((zlib.crc32(w.lower().strip(_MARKS).encode()) % WORDS for w in words), np.int64, len(words))
+        b = np.fromiter((zlib.crc32(shape(w).encode()) % SHAPES for w in words), np.int64, len(words))
+        return a * TERMS + WORDS + b
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, count) of all texts, in order of rows."""
-        if len(self.at) > self.most:
-            self.at.clear()
-        split = [(t or "").split() for t in texts]
-        for w in set().union(*split).difference(self.at):
-            a = zlib.crc32(w.lower().strip(_MARKS).encode("utf-8", "replace")) % WORDS
-            b = WORDS + zlib.crc32(shape(w).encode("utf-8", "replace")) % SHAPES
-            self.at[w] = a * TERMS + b
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        both = np.fromiter(map(self.at.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
-        row = np.repeat(np.arange(len(split)), n)
+        if len(self.seen) > self.most:
+            self.seen = Seen(np.int64)
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        n = words.value_lengths().to_numpy(zero_copy_only=False)
+        flat = words.flatten()
+        coded = flat.dictionary_encode()
+        both = self.seen.values(coded.dictionary, self._learn)[coded.indices.to_numpy()]
+        row = np.repeat(np.arange(len(n)), n)
+        full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+        both, row = both[full], row[full]
         same = (both[1:] == both[:-1]) & (row[1:] == row[:-1])
         key = np.concatenate([row * TERMS + both // TERMS, row * TERMS + both % TERMS, row[1:][same] * TERMS + REPEAT])
         key, count = np.unique(key, return_counts=True)
@@ -67,7 +73,7 @@ class Neighbours:
         self.idf, self.basis, self.vectors, self.y, self.k, self.power = idf, basis, vectors, y, k, power
         self.terms = Terms()
 
-    def latent(self, texts: list[str | None]) -> np.ndarray:
+    def latent(self, texts: pa.Array) -> np.ndarray:
         """Latent vectors of length 1; zeros for a text without words."""
         row, term, count = self.terms(texts)
         out = np.zeros((len(texts), self.basis.shape[1]), np.float32)
@@ -80,7 +86,7 @@ class Neighbours:
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(length, 1e-12)
 
-    def vote(self, texts: list[str | None]) -> np.ndarray:
+    def vote(self, texts: pa.Array) -> np.ndarray:
         """Weighted share of label 1 among the nearest; 0 for a text without words or without neighbours."""
         x = self.latent(texts)
         out = np.zeros(len(texts))
@@ -97,7 +103,7 @@ class Neighbours:
 
 def train(sample: list[tuple[str, int]], dim: int = 64, k: int = 15, power: float = 8.0, shape_weight: float = 2.0, seed: int = 42) -> Neighbours:
     """Neighbours from (text, label) pairs."""
-    texts, y = [t for t, _ in sample], np.array([label for _, label in sample], float)
+    texts, y = pa.array([t for t, _ in sample], pa.string()), np.array([label for _, label in sample], float)
     row, term, count = Terms()(texts)
     n = max(1, len(texts))
     idf = (np.log((n + 1) / (np.bincount(term, minlength=TERMS) + 1)) + 0.1).astype(np.float32)
@@ -115,16 +121,20 @@ def train(sample: list[tuple[str, int]], dim: int = 64, k: int = 15, power: floa
     basis = (q @ turn.T).astype(np.float32)
     out = Neighbours(idf, basis, np.zeros((0, dim), np.float32), y, k, power)
     del a
-    out.vectors = np.concatenate([out.latent(c) for _, c in chunks(texts)]) if texts else out.vectors
+    out.vectors = np.concatenate([out.latent(texts.slice(at, m)) for at, m in slices(texts)]) if len(texts) else out.vectors
     out.terms = Terms()
     return out
 
 
-def _scored(model: Neighbours):
+def _scored(model: Neighbours, text_col: str, width: int):
+    key = ("quality", len(model.y), float(model.vectors.sum()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(key, lambda: model)
         for b in batches:
-            value = [model.vote(texts) for _, texts in chunks(b.column(b.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(value) if value else [], pa.float64())], [*b.schema.names, "_score"])
+            value = [own.vote(b.column(text_col).slice(at, n)) for at, n in slices(b.column(text_col))]
+            score = pa.array(np.concatenate(value) if value else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], score], [*b.schema.names[:width], "quality"])
 
     return run
 
@@ -138,9 +148,8 @@ def score_quality(df: DataFrame, labels: DataFrame, text_col: str = "text", most
     """
     model = train(labelled_sample(df.withColumnRenamed(text_col, "text"), labels, "quality", {0: most_poor, 1: most_good}))
     keep = [c for c in (keep or df.columns) if c != "quality"]
-    slim = df.select(*keep, F.col(text_col).alias("_scored_text"))
-    out = map_arrow(slim, _scored(model), slim.select("*", F.lit(0.0).alias("_score")).schema)
-    return out.drop("_scored_text").withColumnRenamed("_score", "quality")
+    slim = text_columns(df, keep, text_col)
+    return map_texts(slim, _scored(model, text_col, len(keep)), slim.select(*keep, F.lit(0.0).alias("quality")).schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, stage, WORD
+from .common import WORD, map_texts, read, stage
 
 _SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -103,7 +103,7 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     longs = [F.lit(0).cast("long").alias(m) for m in _MEASURES]
-    measured = map_arrow(slim, _measured, slim.select("id", "host", "_th", *longs).schema)
+    measured = map_texts(slim, _measured, slim.select("id", "host", "_th", *longs).schema)
     shared = shared_lines(slim, "host", "_text", ["id", "_th"], most, share)
     shared = shared.select(F.col("id").alias("_id"), F.col("_th").alias("_th2"), "_shared_words")
     out = measured.join(shared, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")

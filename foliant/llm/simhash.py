@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, stage
-from .components import connected_components
+from foliant.operators.graph import connected_components
+
+from .common import map_arrow, map_texts, read, stage
 
 BITS = 64
 SEED = 42
@@ -225,7 +226,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType
-    prints = stage(map_arrow(slim, _fingerprints(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, fp long"))
+    prints = stage(map_texts(slim, _fingerprints(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, fp long"))
     first = stage(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(fingerprint_links(first.select("fp"), radius, subtrie_rows))
     member = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("group"))
