@@ -10,11 +10,15 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, also where lambdas use it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(x: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp((v.cast("double") - top.cast("double")) / t))
-    return F.transform(e, lambda v: v / total(e))
+    e = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp((v.cast("double") - top.cast("double")) / t)))
+    return let(F.struct(e.alias("e"), total(e).alias("t")), lambda s: F.transform(s["e"], lambda v: v / s["t"]))
 
 
 def argmax(x: Column) -> Column:
@@ -32,8 +36,8 @@ def squared_distance(x: Column, y: Column) -> Column:
 
 def entropy(x: Column) -> Column:
     """Of the array's shares, in nats; zero shares add nothing."""
-    whole = total(x)
-    return -F.aggregate(x, F.lit(0.0), lambda a, v: a + F.when(v > 0, v / whole * F.ln(v / whole)).otherwise(0.0))
+    logs = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.when(v > 0, v * F.ln(v)).otherwise(0.0))
+    return let(total(x), lambda whole: F.ln(whole) - logs / whole)
 
 
 def sign_hash(x: Column, start: int, bits: int) -> Column:
@@ -46,12 +50,13 @@ def sign_hash(x: Column, start: int, bits: int) -> Column:
 
 def resample(x: Column, size: int) -> Column:
     """Linear interpolation to ``size`` evenly spaced places."""
-    n = F.size(x)
 
-    def at(i: Column) -> Column:
-        place = i.cast("double") * (n - 1) / max(1, size - 1)
-        low = F.floor(place).cast("int")
-        high = F.least(low + 1, n - 1)
-        return x[low] + (x[high] - x[low]) * (place - low)
+    def sampled(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            place = i.cast("double") * (F.size(v) - 1) / max(1, size - 1)
+            low = F.floor(place).cast("int")
+            return v[low] + (v[F.least(low + 1, F.size(v) - 1)] - v[low]) * (place - low)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+    return let(x, sampled)

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from foliant.functions.arrays import let
+
 
 def plain_metric_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
@@ -78,17 +80,19 @@ def word_distance(a: Column, b: Column) -> Column:
 
     Characters start at U+0100 and leave out the surrogates.
     """
-    words = F.array_distinct(F.concat(a, b))
 
-    def coded(x: Column) -> Column:
-        def char(w: Column) -> Column:
-            at = F.array_position(words, w).cast("int") + 256
-            at = F.when(at >= 0xD800, at + 0x800).otherwise(at)
-            return F.decode(F.unhex(F.lpad(F.hex(at), 4, "0")), "UTF-16BE")
+    def distance(s: Column) -> Column:
+        def coded(x: Column) -> Column:
+            def char(w: Column) -> Column:
+                at = F.array_position(s["words"], w).cast("int") + 256
+                at = F.when(at >= 0xD800, at + 0x800).otherwise(at)
+                return F.decode(F.unhex(F.lpad(F.hex(at), 4, "0")), "UTF-16BE")
+
+            return F.array_join(F.transform(x, char), "")
 
-        return F.array_join(F.transform(x, char), "")
+        return F.levenshtein(coded(s["a"]), coded(s["b"]))
 
-    return F.levenshtein(coded(a), coded(b))
+    return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("words")), distance)
 
 
 def letters_share(x: Column, pattern: str, of: str | None = None) -> Column:

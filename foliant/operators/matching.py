@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry as g
+from foliant.functions.arrays import let
 from foliant.functions.ids import hash_rank, stable_id
 from foliant.functions.text import match_type, text_score
 from foliant.session import ship_code
@@ -144,19 +145,25 @@ def contained(texts: DataFrame, text: str, passages: DataFrame, passage: str, sh
     """Pairs of rows where the text holds the passage as it stands.
 
     Both sides meet on a passage's rarest-looking word run (the one of the smallest hash among its runs of ``shingle`` words inside the passage,
-    first and last word left out), so only texts that hold that run are compared. Shorter passages are compared by their longest word.
+    first and last word left out), so only texts that hold that run are compared. Passages of one or two words are compared with every text.
     """
-    w = F.split(F.col(passage), r"\s+")
-    inner = F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 2))
 
-    def runs(x: Column) -> Column:
-        n = F.size(x)
-        return F.when(n >= shingle, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - shingle + 1)), lambda i: F.xxhash64(F.array_join(F.slice(x, i, shingle), " "))))
+    def runs(words: Column) -> Column:
+        def hashed(x: Column) -> Column:
+            n = F.size(x)
+            return F.when(n >= shingle, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - shingle + 1)), lambda i: F.xxhash64(F.slice(x, i, shingle))))
+
+        return let(words, hashed)
 
-    p = passages.withColumn("_runs", runs(inner))
+    w = F.split(F.col(passage), r"\s+")
+    p = passages.withColumn("_runs", let(w, lambda x: runs(F.slice(x, F.lit(2), F.greatest(F.lit(0), F.size(x) - 2)))))
     long = p.where("_runs is not null").withColumn("_key", F.array_min("_runs")).drop("_runs")
     t = texts.withColumn("_keys", F.array_distinct(runs(F.split(F.col(text), r"\s+"))))
     hit = t.withColumn("_key", F.explode("_keys")).drop("_keys").join(long, "_key").drop("_key")
-    short = p.where("_runs is null").drop("_runs")
-    near = texts.join(short, F.col(text).contains(F.col(passage)))
+    # Fewer words inside: the longest of them must stand in the text as a word.
+    inner = F.slice(w, F.lit(2), F.greatest(F.lit(0), F.size(w) - 2))
+    short = p.where("_runs is null").drop("_runs").withColumn("_word", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
+    by_word = texts.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), r"\s+")))).join(short.where("_word is not null"), "_word").drop("_word")
+    near = texts.join(short.where("_word is null").drop("_word"), F.col(text).contains(F.col(passage)))
+    hit = hit.unionByName(by_word)
     return hit.where(F.col(text).contains(F.col(passage))).unionByName(near)

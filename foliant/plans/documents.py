@@ -120,13 +120,13 @@ def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- matching
 
-_BITS = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(48))
+_BITS = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(20))
 
 
-@query("near_duplicate_pairs", f"WITH h AS (SELECT vec_id, CAST({_BITS} AS BIGINT) AS h FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h)) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 9")
+@query("near_duplicate_pairs", f"WITH h AS (SELECT vec_id, CAST({_BITS} AS BIGINT) AS h FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h)) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 2")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "embeddings").select("vec_id", arrays.sign_hash(F.col("embedding"), 0, 48).alias("h"))
-    return matching.near_hashes(h, "vec_id", "h", 9, bits=48)
+    h = table(spark, sf_dir, "embeddings").select("vec_id", arrays.sign_hash(F.col("embedding"), 0, 20).alias("h"))
+    return matching.near_hashes(h, "vec_id", "h", 2, bits=20)
 
 
 _BOX = "10.0 + length(text) % 40 AS x0, (g.i - 1) * 12.0 AS y0, 60.0 + length(text) % 200 AS x1, (g.i - 1) * 12.0 + 14 AS y1"
