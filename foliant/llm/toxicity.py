@@ -13,23 +13,25 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read
+from .common import Seen, kept, map_texts, read, slices, text_columns
 from .labelled import held_out, labelled_sample
-from .packing import chunks
 
 N, DECAY = 3, 0.6
 LONGEST = 24  # longer words are compared window by window
 NO_WORD = -9.0
 _SPELT = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
+_SPELT_SOMEWHERE = r"(?:^|\s)(?:[^\s][ \t]){3,}[^\s](?:\s|$)"
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -38,10 +40,12 @@ def words_of(text: str | None) -> set[str]:
     if not text:
         return set()
     text = text.lower()
-    found = set(text.split())
-    for m in _SPELT.finditer(text):
-        found.add("".join(m.group().split()))
-    return found
+    return set(text.split()) | set(spelt(text))
+
+
+def spelt(text: str) -> list[str]:
+    """Words written letter by letter with spaces, put together."""
+    return ["".join(m.group().split()) for m in _SPELT.finditer(text)]
 
 
 def letters(word: str) -> str:
@@ -92,7 +96,7 @@ class Machine:
         self._codes = _codes(self.landmarks, width)
         self._mask = _masks(self._codes)
         self._self = np.sqrt(np.maximum(kernel(self._codes, self._codes), 1e-12)) if self.landmarks else np.zeros(0)
-        self._cache: dict[str, float] = {}
+        self._seen: Seen | None = None
 
     def features(self, words: list[str]) -> np.ndarray:
         """Kernels of words (letters only, LONGEST at most) with the landmarks, normalised.
@@ -136,22 +140,32 @@ class Machine:
             np.maximum.at(out, owner, self.features(parts) @ self.weights + self.bias)
         return out
 
-    def of_texts(self, texts: list[str | None], most: int = 400_000) -> np.ndarray:
+    def of_texts(self, texts: pa.Array, most: int = 2_000_000) -> np.ndarray:
         """The largest value among each text's words; the bias where it has none."""
-        if len(self._cache) > most:
-            self._cache.clear()
-        cache = self._cache
-        sets = [words_of(t) for t in texts]
-        new = [w for w in set().union(*sets) if w not in cache] if sets else []
-        cache.update(zip(new, self.of_words(new).tolist(), strict=True))
-        return np.array([max(map(cache.__getitem__, s), default=self.bias) for s in sets])
+        if self._seen is None or len(self._seen) > most:
+            self._seen = Seen(np.float32)
+        low = pc.utf8_lower(pc.fill_null(texts, ""))
+        words = pc.ascii_split_whitespace(low)
+        n = words.value_lengths().to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        each = self._seen.values(coded.dictionary, lambda new: self.of_words(new.to_pylist()))[coded.indices.to_numpy()]
+        out = np.full(len(n), float(self.bias))
+        full = n > 0
+        if full.any():
+            out[full] = np.maximum.reduceat(each, (np.cumsum(n) - n)[full])
+        # Words spelt letter by letter are rare: only texts that hold such a run are looked at again.
+        for i in np.flatnonzero(pc.match_substring_regex(low, _SPELT_SOMEWHERE).to_numpy(zero_copy_only=False)):
+            joined = spelt(low[int(i)].as_py())
+            if joined:
+                out[i] = max(out[i], self.of_words(joined).max())
+        return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
 
 
-def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """Words that stand for toxic documents: each next one covers the most that are left.
+def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> tuple[list[str], set[str]]:
+    """Words that stand for toxic documents, and all words that surely do: the sure ones, then each next one covers the most that are left.
 
     Evidence comes from words and their runs of four letters: how many toxic and how many
     harmless documents hold them.
@@ -178,8 +192,12 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> list[str
             neg.update({g for w in bag for g in marks(w) if g in pos})
     n_pos, n_neg = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     odds = {g: math.log((n + 0.1) / (n_pos + 1)) - math.log((neg[g] + 0.5) / (n_neg + 1)) for g, n in pos.items()}
-    good = {g for g, o in odds.items() if o > 1.5}
-    left, out = toxic_docs, []
+    # Whole words that stand in several toxic documents and hardly elsewhere come first, each for itself.
+    sure = sorted((g for g, n in pos.items() if g.startswith("^") and n >= 3 and odds[g] > 3), key=lambda g: (-pos[g], g))
+    out = [g[1:] for g in sure[: most // 2]]
+    seen_grams = {g for w in out for g in marks(w)}
+    good = {g for g, o in odds.items() if o > 1.5} - seen_grams
+    left = [(bag, m) for bag, m in toxic_docs if not m & {f"^{w}" for w in out}]
     while left and len(out) < most:
         seen = Counter(g for _, m in left for g in m if g in good)
         if not seen:
@@ -194,7 +212,7 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> list[str
             continue
         out.append(word)
         left = [(bag, m) for bag, m in left if best not in m]
-    return out
+    return out, {g[1:] for g in sure}
 
 
 def _svm(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -212,6 +230,14 @@ def _svm(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400, ridge: f
     return v[:-1], float(v[-1])
 
 
+def with_gaps(words: list[str]) -> Iterator[str]:
+    """Each word with one foreign letter put inside, at every place: what gapped insults look like to the kernel."""
+    for w in words:
+        foreign = next(c for c in "xqzwjkv" if c not in w) if any(c not in w for c in "xqzwjkv") else "x"
+        for i in range(1, len(w)):
+            yield w[:i] + foreign + w[i:]
+
+
 def _logistic(value: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Slope and offset by Newton's method, a little ridge on the slope."""
     a = np.zeros(2)
@@ -227,17 +253,40 @@ def _logistic(value: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
+def without_copies(bags: list[set[str]]) -> list[int]:
+    """Places of documents of which no earlier one is a near copy, so that a copied text's words are no evidence.
+
+    Two texts count as copies if the rare word of the smallest hash is the same in both, for either of two hashes.
+    """
+    df = Counter(w for b in bags for w in b)
+    limit = max(3, len(bags) // 20)
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, b in enumerate(bags):
+        rare = [w.encode() for w in b if df[w] <= limit]
+        keys = {(k, min(zlib.crc32(w, k) for w in rare)) for k in (1, 2)} if len(rare) > 5 else set()
+        if not keys & seen:
+            out.append(i)
+        seen |= keys
+    return out
+
+
 def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int = 16, rounds: int = 4) -> Machine:
     """A machine from (text, toxic) pairs. Without both labels it answers the share of toxic ones, 0.5 of none."""
     y = np.array([label for _, label in sample])
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():  # nothing to tell apart
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Machine([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))
     bags = [{x for x in map(letters, words_of(t)) if N <= len(x) <= LONGEST} for t, _ in sample]
-    machine = Machine(choose_landmarks(bags, y, landmarks))
+    alone = without_copies(bags)
+    bags, y = [bags[i] for i in alone], y[alone]
+    chosen, sure = choose_landmarks(bags, y, landmarks)
+    machine = Machine(chosen)
     vocabulary = sorted(set().union(*bags))
     at = {w: i for i, w in enumerate(vocabulary)}
-    of_doc = [np.fromiter((at[w] for w in b), np.int64, len(b)) for b in bags]
+    of_doc = [np.fromiter((at[w] for w in b), np.int32, len(b)) for b in bags]
+    known = np.fromiter((w in sure for w in vocabulary), bool, len(vocabulary))
+    del bags, at
     x = machine.features(vocabulary)
     harmless = np.zeros(len(vocabulary), bool)
     for rows, label in zip(of_doc, y, strict=True):
@@ -251,20 +300,25 @@ def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int =
     # Nystroem: features of the landmarks' space, K(word, L) K(L, L)^-1/2.
     values, vectors = np.linalg.eigh(machine.features(machine.landmarks).astype(float) / 2 + machine.features(machine.landmarks).T.astype(float) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    phi = x @ root
     score = x[:, : len(machine.landmarks) - len(near)].max(1, initial=0) - harmless
+    phi = x @ root.astype(np.float32)
+    del x
+    gapped = machine.features(list(with_gaps(chosen))) @ root.astype(np.float32)
     for _ in range(rounds):
         pos, neg = Counter(), Counter()
         for rows, label in zip(of_doc, y, strict=True):
             if len(rows):
                 best = rows[np.argsort(-score[rows], kind="stable")[: 1 if label else 20]]
-                (pos if label else neg).update(best.tolist())
+                (pos if label else neg).update({*best.tolist(), *(rows[known[rows]].tolist() if label else ())})
         rows = np.array([*pos, *neg])
         labels = np.array([1] * len(pos) + [0] * len(neg))
         weight = np.sqrt(np.array([*pos.values(), *neg.values()], float))
         weight[: len(pos)] /= weight[: len(pos)].sum()
         weight[len(pos) :] /= weight[len(pos) :].sum()
-        w, bias = _svm(phi[rows], labels, weight)
+        inputs = np.concatenate([phi[rows], gapped])
+        labels = np.append(labels, np.ones(len(gapped)))
+        weight = np.append(weight, np.full(len(gapped), 2.5 / max(1, len(gapped))))
+        w, bias = _svm(inputs, labels, weight)
         score = phi @ w + bias
     machine.weights, machine.bias = root @ w, bias
     value = np.array([score[r].max() if len(r) else bias for r in of_doc])
@@ -272,17 +326,20 @@ def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int =
     return machine
 
 
-def _scored(machine: Machine):
+def _scored(machine: Machine, text_col: str, width: int):
+    key = ("toxicity", *machine.landmarks, machine.bias, machine.offset)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(key, lambda: machine)
         for b in batches:
-            value = [machine.of_texts(texts) for _, texts in chunks(b.column(b.num_columns - 1).to_pylist())]
-            p = machine.probability(np.concatenate(value)) if value else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "_score"])
+            value = [own.of_texts(b.column(text_col).slice(at, n)) for at, n in slices(b.column(text_col), 1 << 20)]
+            p = own.probability(np.concatenate(value)) if value else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(p, pa.float64())], [*b.schema.names[:width], "toxicity"])
 
     return run
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1500, most_harmless: int = 3000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 2400, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with toxicity (double, 0 to 1).
 
     Learns from at most ``most_toxic`` and ``most_harmless`` documents of ``df`` that ``labels``
@@ -291,9 +348,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", mos
     """
     machine = train(labelled_sample(df.withColumnRenamed(text_col, "text"), labels, "toxic", {0: most_harmless, 1: most_toxic}))
     keep = [c for c in (keep or df.columns) if c != "toxicity"]
-    slim = df.select(*keep, F.col(text_col).alias("_scored_text"))
-    out = map_arrow(slim, _scored(machine), slim.select("*", F.lit(0.0).alias("_score")).schema)
-    return out.drop("_scored_text").withColumnRenamed("_score", "toxicity")
+    slim = text_columns(df, keep, text_col)
+    return map_texts(slim, _scored(machine, text_col, len(keep)), slim.select(*keep, F.lit(0.0).alias("toxicity")).schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
