@@ -68,17 +68,18 @@ def shared_lines(df: DataFrame, host_col: str, text_col: str, key: list[str], mo
     """(key..., _shared_words): words in lines that more documents of the host hold than its limit.
 
     The limit is ``most`` documents or ``share`` of the host's documents, if that is more.
-    A document's copies of a line count once; its words count as often as the line stands there.
+    Lines are compared in lower case with runs of ASCII marks and white space as one space; lines of marks alone
+    don't count. A document's copies of a line count once; its words count as often as the line stands there.
     Counting combines hashes before the shuffle. Lines above the limit go to every task if
     they are at most ``broadcast_rows``; beyond that, they are joined by a shuffle.
     """
 
     def hashed(x: Column) -> Column:
-        return F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\p{Punct}\s\d]+", " ")))
+        return F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\p{Punct}\s]+", " ")))
 
     # A host is its hash here; null is a host.
     host = F.coalesce(F.xxhash64(host_col), F.lit(0)).alias("_host")
-    lines = F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(r"[^\p{Punct}\s]"))
     rows = df.where(F.col(text_col).isNotNull())
     once = rows.select(host, F.explode(F.array_distinct(F.transform(lines, hashed))).alias("_line"))
     counts = once.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
@@ -128,11 +129,11 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT i + k.k) AS n FROM twice, range(0, 3) k(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, source, g.i AS i, string_split(text, chr(10))[g.i] AS line FROM w, range(1, 1 + len(string_split(text, chr(10)))) g(i)),
 spoken AS (SELECT doc_id, source, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-    trim(regexp_replace(lower(line), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\s\x0B\d]+', ' ', 'g')) AS norm
+    trim(regexp_replace(lower(line), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\s\x0B]+', ' ', 'g')) AS norm
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM spoken) WHERE r > 1 GROUP BY doc_id),
 hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-freq AS (SELECT source, norm, count(DISTINCT doc_id) AS n FROM spoken GROUP BY source, norm),
+freq AS (SELECT source, norm, count(DISTINCT doc_id) AS n FROM spoken WHERE norm <> '' GROUP BY source, norm),
 hot AS (SELECT f.source, f.norm FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > greatest(50, 0.002 * h.docs)),
 shared AS (SELECT s.doc_id, sum(s.n) AS n FROM spoken s JOIN hot h ON s.source IS NOT DISTINCT FROM h.source AND s.norm = h.norm GROUP BY s.doc_id),
 out AS (
