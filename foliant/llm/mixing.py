@@ -50,12 +50,12 @@ def word_count(text: Column) -> Column:
 
 
 def mix_sources(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 42, slices: int = 4096
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 42, slices: int = 4096, broadcast_sources: int = 50_000
 ) -> DataFrame:
     """``df`` with size, source_size (long), target (double), copies (int) and taken (long).
 
     ``size`` is the number of words (null text: 0), ``copies`` how often the mix
-    takes the document, at most ``most``, and ``taken`` = copies * size. Null is a source of its own.
+    takes the document, at most ``most`` times, and ``taken`` = copies * size. Null is a source of its own.
     Documents without words and sources without words are never drawn. Rows
     that repeat id and text share one rank and are taken together. Empty in, empty out.
     Columns of ``df`` with these five names are replaced.
@@ -72,8 +72,11 @@ def mix_sources(
     targets = targets.withColumn("_base", F.least(F.floor(ratio), F.lit(most)).cast("int")).withColumn("_p", ratio - F.col("_base"))
     rest = F.col("target") - F.col("_base") * F.col("source_size")
     targets = stage(targets.withColumn("_rest", rest))
+    few = targets.count() <= broadcast_sources
 
     def ranked(rows: DataFrame, to: DataFrame) -> DataFrame:
+        # Sources are few, as a rule: then rows stay where they are, however many a source has.
+        to = F.broadcast(to) if few else to
         u = F.conv(F.substring("_key", 1, 13), 16, 10).cast("double") / float(1 << 52)
         rank = F.when((F.col("_p") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p"))))
         to = to.withColumnRenamed("source", "_to")
