@@ -73,33 +73,57 @@ def after_label(text: Column) -> Column:
     return F.nullif(F.trim(first_match(text, r"(?s)^.*?[:：](.*)$", 1)), F.lit(""))
 
 
-def line_candidates(text: Column, confidence: Column) -> Column:
-    """Array of (field, value, raw, confidence, status) that a line gives, in a fixed order."""
-    text = F.trim(text)
-    low = F.lower(text)
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence.cast("double"), F.lit(0.5))))
+def with_matches(lines: DataFrame, text: str, confidence: str) -> DataFrame:
+    """Adds what the patterns find on each line, every pattern run once and only where a sign of it is there."""
+    t, low = F.col("_t"), F.col("_low")
+    x = lines.withColumns({"_t": F.trim(F.col(text)), "_c": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(confidence).cast("double"), F.lit(0.5))))})
+    x = x.withColumns({"_low": F.lower(t), "_digit": t.rlike("[0-9]"), "_mark": t.rlike("[:#：]")})
+    x = x.withColumns({f"_k_{f}": holds(low, words) for f, words in KEYWORDS.items()})
+    numbered, amount = F.lit(False), F.lit(False)
+    for f in NUMBERED:
+        numbered = numbered | F.col(f"_k_{f}")
+    for f in AMOUNTS:
+        amount = amount | F.col(f"_k_{f}")
+    digit = F.col("_digit")
+    x = x.withColumns(
+        {
+            "_email": F.when(t.contains("@"), F.regexp_extract(t, EMAIL, 0)),
+            "_site": F.when(low.contains("http") | low.contains("www."), F.regexp_replace(F.regexp_extract(t, WEBSITE, 0), r"[.,;)]+$", "")),
+            "_phone": F.when(t.rlike("[0-9].{6}"), F.regexp_extract(t, PHONE, 0)),
+            "_date": F.when(digit, F.regexp_extract(t, DATE, 0)),
+            "_time": F.when(digit & t.contains(":"), F.regexp_extract(t, TIME, 0)),
+            "_number": F.when(F.col("_mark") & numbered, F.regexp_extract(t, NUMBER, 0)),
+            "_money": F.when(digit & amount, F.trim(F.try_element_at(F.regexp_extract_all(t, F.lit(MONEY), F.lit(0)), F.lit(-1)))),
+        }
+    )
+    blank = F.lit("")
+    x = x.withColumns({c: F.nullif(c, blank) for c in ("_email", "_site", "_phone", "_date", "_time", "_number")})
+    return x.withColumns({"_value": F.regexp_extract("_number", NUMBER, 1), "_amount": normal_money(F.col("_money")), "_after": F.when(F.col("_mark"), after_label(t)), "_currency": currency(t), "_title": document_title(t), "_payment": F.when(F.col("_k_payment_method"), payment_method(t))})
+
+
+def line_candidates() -> Column:
+    """Array of (field, value, raw, confidence, status) out of a line's matches, in a fixed order."""
+    low, t, c = F.col("_low"), F.col("_t"), F.col("_c")
 
     def one(field: str, value: Column, raw: Column, conf: Column = c, status: str = "validated") -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(field).alias("field"), value.alias("value"), raw.alias("raw"), conf.alias("confidence"), F.lit(status).alias("status")))
 
-    phone, site = first_match(text, PHONE), F.regexp_replace(first_match(text, WEBSITE), r"[.,;)]+$", "")
-    found = [one("email", first_match(text, EMAIL), first_match(text, EMAIL)), one("website", site, site), one("phone_number", F.regexp_replace(phone, r"[^+0-9]", ""), phone)]
-    found += [one(f, first_match(text, p), first_match(text, p)) for f, p in (("date", DATE), ("time", TIME))]
+    found = [one("email", F.col("_email"), F.col("_email")), one("website", F.col("_site"), F.col("_site")), one("phone_number", F.regexp_replace("_phone", r"[^+0-9]", ""), F.col("_phone"))]
+    found += [one("date", F.col("_date"), F.col("_date")), one("time", F.col("_time"), F.col("_time"))]
     for f in NUMBERED:
-        found.append(one(f, F.when(holds(low, KEYWORDS[f]), first_match(text, NUMBER, 1)), first_match(text, NUMBER)))
-    raw_money = F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(MONEY), F.lit(0)), F.lit(-1)))
+        found.append(one(f, F.when(F.col(f"_k_{f}"), F.col("_value")), F.col("_number")))
     for f in AMOUNTS:
-        on = holds(low, KEYWORDS[f])
+        on = F.col(f"_k_{f}")
         if f == "total_amount":
-            on = on & ~holds(low, KEYWORDS["subtotal"])
+            on = on & ~F.col("_k_subtotal")
         if f == "tax":
-            on = on & ~holds(low, KEYWORDS["tax_identification_number"])
+            on = on & ~F.col("_k_tax_identification_number")
         bonus = F.when(low.contains("grand") | low.contains("due"), 0.06).otherwise(0.0) if f == "total_amount" else F.lit(0.06)
-        found.append(one(f, F.when(on, normal_money(raw_money)), raw_money, F.least(F.lit(1.0), c + bonus)))
-    found.append(one("payment_method", F.when(holds(low, KEYWORDS["payment_method"]), payment_method(text)), text, status="unvalidated"))
+        found.append(one(f, F.when(on, F.col("_amount")), F.col("_money"), F.least(F.lit(1.0), c + bonus)))
+    found.append(one("payment_method", F.col("_payment"), t, status="unvalidated"))
     for f in LABELLED:
-        found.append(one(f, F.when(holds(low, KEYWORDS[f]), after_label(text)), text, status="unvalidated"))
-    found += [one("currency", currency(text), text), one("document_title", document_title(text), text)]
+        found.append(one(f, F.when(F.col(f"_k_{f}"), F.col("_after")), t, status="unvalidated"))
+    found += [one("currency", F.col("_currency"), t), one("document_title", F.col("_title"), t)]
     return F.array_compact(F.array(*found))
 
 
@@ -108,7 +132,8 @@ def extract_fields(lines: DataFrame, by: list[str], line: str, text: str, confid
 
     The highest confidence wins, on a tie the first line. ``values`` above 1 is a conflict to report.
     """
-    c = lines.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(*by, F.col(line).alias("line"), F.explode(line_candidates(F.col(text), F.col(confidence))).alias("x")).select(*by, "line", "x.*")
+    known = with_matches(lines.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(*by, line, text, confidence), text, confidence)
+    c = known.select(*by, F.col(line).alias("line"), F.explode(line_candidates()).alias("x")).select(*by, "line", "x.*")
     return winners(c, by)
 
 

@@ -9,6 +9,7 @@ from foliant.backends import FixedReader, read_pages
 from foliant.functions import arrays, geometry, money, text
 from foliant.operators import extraction, matching, quality, relational, supervision, tables
 from foliant.plans.registry import query, table
+from foliant.session import spread
 
 
 def r(x, n: int = 6):
@@ -17,7 +18,7 @@ def r(x, n: int = 6):
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with a place-dependent confidence."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return d.withColumn("confidence", 0.5 + F.col("line") % 5 / 10)
 
 
@@ -46,7 +47,7 @@ def rule_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as the lines of an invoice."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf_dir, "orders")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     cents = F.round("o_totalprice", 2).cast("decimal(20,2)")
     lines = F.array(
         F.concat(F.lit("Invoice No: #INV-"), F.col("o_orderkey").cast("string")),
@@ -217,7 +218,7 @@ def relations_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("contamination", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     return matching.contained(d, "text", b, "passage").select("doc_id", "item_id").distinct()
 

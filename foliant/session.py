@@ -69,3 +69,16 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package on the workers' path."""
     ship_code(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it is a plain scan of fewer splits, else as it is.
+
+    For work that costs much more than moving the rows: a small input in one file would keep one core busy.
+    """
+    plan = df._jdf.queryExecution()
+    shown = plan.executedPlan().toString()
+    if "AdaptiveSparkPlan" in shown or "Exchange" in shown:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
