@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.session import ensure_checkpoint_dir, map_arrow, shared_folder, stage
+from foliant.session import ensure_checkpoint_dir, map_arrow, shared_folder, spread, stage
 
 __all__ = ["WORD", "WS_CLASS", "Seen", "chunks", "ensure_checkpoint_dir", "fresh", "kept", "map_arrow", "map_texts", "read", "shared_folder", "slices", "stage", "string_hashes", "text_columns"]
 
@@ -42,7 +42,7 @@ def map_texts(df: DataFrame, fn: Callable, schema) -> DataFrame:
     now = int(conf.get(name))
     if now <= 0 or now > TEXT_ROWS:
         conf.set(name, str(TEXT_ROWS))
-    return map_arrow(df, fn, schema)
+    return map_arrow(spread(df), fn, schema)
 
 
 def text_columns(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
