@@ -35,9 +35,10 @@ def squared_distance(x: Column, y: Column) -> Column:
 
 
 def entropy(x: Column) -> Column:
-    """Of the array's shares, in nats; zero shares add nothing."""
-    logs = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.when(v > 0, v * F.ln(v)).otherwise(0.0))
-    return let(total(x), lambda whole: F.ln(whole) - logs / whole)
+    """Of the array's shares, in bits over the bits of its length (1 at least); 0 of an array without weight."""
+    logs = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.when(v > 0, v * F.log2(v)).otherwise(0.0))
+    bits = F.greatest(F.lit(1.0), F.log2(F.size(x).cast("double")))
+    return let(total(x), lambda whole: F.when(whole > 0, (F.log2(whole) - logs / whole) / bits).otherwise(0.0))
 
 
 def sign_hash(x: Column, start: int, bits: int) -> Column:

@@ -418,7 +418,7 @@ def vector_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", *[r(F.col("x")[i]).alias(n) for i, n in enumerate("abc")])
 
 
-@query("word_entropy", "WITH c AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS k FROM documents) GROUP BY 1, 2), t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY 1) SELECT c.doc_id, round(-sum(c.n / t.n * ln(c.n / t.n)), 5) AS entropy FROM c JOIN t USING (doc_id) GROUP BY c.doc_id")
+@query("word_entropy", "WITH c AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS k FROM documents) GROUP BY 1, 2), t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY 1) SELECT c.doc_id, round(-sum(c.n / t.n * log2(c.n / t.n)) / greatest(1, log2(count(*))), 5) AS entropy FROM c JOIN t USING (doc_id) GROUP BY c.doc_id")
 def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("k")).groupBy("doc_id", "k").agg(F.count("*").cast("double").alias("n"))
     return w.groupBy("doc_id").agg(F.collect_list("n").alias("x")).select("doc_id", r(arrays.entropy(F.col("x")), 5).alias("entropy"))
