@@ -32,6 +32,25 @@ def walk(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return f.select(F.col("path").alias("uri"), rel.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), ext.alias("ext"), *(["content"] if content else []))
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files without bytes below a folder, in the form of ``walk`` with content; Spark's sources leave them out.
+
+    The driver lists the folder and keeps only these.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            uri = f.getPath().toString()
+            path = uri.split(root.rstrip("/") + "/", 1)[-1]
+            rows.append((uri, path, f.getModificationTime() / 1000, path.rsplit(".", 1)[-1].lower() if "." in path else ""))
+    d = spark.createDataFrame(rows, "uri string, path string, t double, ext string")
+    return d.select("uri", "path", F.timestamp_seconds("t").alias("modified"), F.lit(0).cast("long").alias("size"), "ext", F.lit(b"").alias("content"))
+
+
 def image_size(data: bytes | None) -> tuple[int, int] | None:
     """Width and height out of a PNG, GIF, BMP or JPEG header."""
     if not data or len(data) < 24:

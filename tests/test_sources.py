@@ -29,7 +29,7 @@ def tree(root):
 
 def test_inventory_and_discovery(spark, tmp_path):
     tree(tmp_path)
-    f = files.walk(spark, str(tmp_path), content=True)
+    f = files.walk(spark, str(tmp_path), content=True).unionByName(files.empty_files(spark, str(tmp_path)))
     rows, errors = files.inventory(f, "set")
     got = {r["path"]: r for r in rows.collect()}
     assert (got["alpha_set/img/a.png"]["width"], got["alpha_set/img/a.png"]["height"]) == (100, 80)
