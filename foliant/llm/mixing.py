@@ -108,3 +108,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
     mixed = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP9_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM s GROUP BY source),
+n AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM z),
+f AS (SELECT *, 3 * ss AS cap, 3 * ss / CAST(w AS DOUBLE) AS full_at FROM n),
+l AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER b, 0)) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level, row_number() OVER o AS pos
+  FROM f WINDOW o AS (ORDER BY full_at, source IS NULL, source), b AS (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, ss, coalesce(least(CAST(cap AS DOUBLE), w * (SELECT level FROM l WHERE level <= full_at ORDER BY pos LIMIT 1)), 0.0) AS target FROM l),
+r AS (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS ratio FROM t),
+p AS (SELECT *, CAST(least(floor(ratio), 3) AS BIGINT) AS base, ratio - least(floor(ratio), 3) AS p, target - least(floor(ratio), 3) * ss AS rest FROM r),
+q AS (SELECT s.doc_id, s.source, s.size, s.k, p.ss, p.target, p.base, p.rest, p.p, CAST('0x' || substr(s.k, 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
+drawn AS (SELECT doc_id, rest, size, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), k ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE p > 0 AND size > 0),
+once AS (SELECT doc_id FROM drawn WHERE upto - size / 2.0 <= rest)
+SELECT q.doc_id, q.size, q.ss AS source_size, q.target, CAST(c.copies * q.size AS BIGINT) AS taken, CAST(c.copies AS INT) AS copies
+FROM q LEFT JOIN once USING (doc_id), LATERAL (SELECT CASE WHEN q.size = 0 THEN 0 WHEN once.doc_id IS NULL THEN q.base ELSE q.base + 1 END AS copies) c
+"""
