@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, fresh, read
+from .common import WS_CLASS, read
 
 
 def line_windows(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -46,25 +46,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     windows without a word, stay. Null text stays null (0 lines); a text may become
     empty, its row stays. Clashing extra columns ``n_lines``, ``n_removed`` are replaced.
     """
-    df = df.drop("n_lines", "n_removed")
+    keep = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     windows = line_windows(df, id_col, text_col, window)
     place = F.struct("_noid", "_id", "_th", "pos")
     first = windows.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("first"))
     first = first.where("times > 1").select("w1", "w2", "first")
     later = windows.join(first, ["w1", "w2"]).where(place > F.col("first"))
-    cover = later.groupBy("_id", "_th").agg(F.collect_set("pos").alias("_starts"))
-    th, lines = fresh(df, "_text_hash"), fresh(df, "_lines")
-    docs = df.withColumn(th, F.xxhash64(text_col))
-    out = docs.join(cover, docs[id_col].eqNullSafe(cover["_id"]) & (docs[th] == cover["_th"]), "left").drop("_id", "_th")
-    out = out.withColumn(lines, F.split(text_col, "\n", -1))
-    gone = F.flatten(F.transform("_starts", lambda p: F.array(*[p + k for k in range(window)])))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    out = out.withColumn("_stay", F.when(F.col("_starts").isNotNull(), stay))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = out.withColumns({"n_lines": count, "n_removed": F.coalesce(count - F.size("_stay"), F.lit(0)).cast("long")})
-    kept = F.concat_ws("\n", F.transform("_stay", lambda i: F.col(lines)[i]))
-    out = out.withColumn(text_col, F.when(F.col("_stay").isNotNull(), kept).otherwise(F.col(text_col)))
-    return out.select(*df.columns, "n_lines", "n_removed")
+    cover = later.groupBy("_id", "_th").agg(F.collect_set("pos").alias("starts"))
+    # Other columns travel in one struct, so that their names can't clash with those made here.
+    docs = df.select(F.struct(*[c for c in keep if c != text_col]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    out = docs.join(cover, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").withColumn("lines", F.split("text", "\n", -1))
+    gone = F.flatten(F.transform("starts", lambda p: F.array(*[p + k for k in range(window)])))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
+    out = out.withColumn("stay", F.when(F.col("starts").isNotNull(), stay))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    cleaned = F.when(F.col("stay").isNotNull(), F.concat_ws("\n", F.transform("stay", lambda i: F.col("lines")[i]))).otherwise(F.col("text"))
+    columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in keep]
+    return out.select(*columns, count.alias("n_lines"), F.coalesce(count - F.size("stay"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

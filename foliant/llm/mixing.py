@@ -61,9 +61,10 @@ def mix_sources(
     Columns of ``df`` with these five names are replaced.
     """
     own = ["size", "source_size", "target", "copies", "taken"]
-    keep = [c for c in df.columns if c not in own]
+    keep = [c for c in df.columns if c.lower() not in own]
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    known = df.select(*keep, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"))
+    # The rows' columns travel in one struct, so that their names can't clash with those made here.
+    known = df.select(F.struct(*keep).alias("_row"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"))
     light = stage(known.select("_source", "size", "_key"))
 
     sizes = light.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
@@ -101,7 +102,7 @@ def mix_sources(
     drawn_once = F.when(F.col("_rank").isNotNull() & within, 1).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("_base") + drawn_once).otherwise(0).cast("int"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*keep, *own)
+    return out.select(*[F.col("_row")[c].alias(c) for c in keep], *own)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ def shard_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart by the shuffle. Columns with the five names are replaced. Empty in, empty out.
     """
     own = ["size", "text_crc32", "law", "shard", "slot"]
-    keep = [c for c in df.columns if c not in own]
+    keep = [c for c in df.columns if c.lower() not in own]
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    known = df.select(*keep, (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    known = known.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col), "text_crc32", "size"))
+    known = df.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    known = known.withColumn("_h", F.xxhash64(F.lit(seed), "id", "text_crc32", "size"))
 
     total = known.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
@@ -40,7 +40,7 @@ def shard_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = stage(counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")))
 
-    record = F.struct(F.xxhash64(F.lit("order"), "_h").alias("h"), "_h", F.col(id_col).alias("id"), F.struct(*keep, "size", "text_crc32").alias("record"))
+    record = F.struct(F.xxhash64(F.lit("order"), "_h").alias("h"), "id", "row", "size", "text_crc32")
     filled = known.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.collect_list(record).alias("_records"))
     # The shuffle's generator runs on through a partition: buckets come in one fixed order, from a total order of records.
     fixed = F.expr("array_sort(_records, (a, b) -> case when a.h < b.h then -1 when a.h > b.h then 1 when a.id < b.id then -1 when a.id > b.id then 1 else 0 end)")
@@ -57,8 +57,8 @@ def shard_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         shard = position
     start = shard * small + F.least(shard, F.lit(larger))
-    out = placed.select("_r.record.*", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (position - start).cast("long").alias("slot"))
-    return out.select(*keep, *own)
+    columns = [F.col("_r.row")[c].alias(c) for c in keep]
+    return placed.select(*columns, "_r.size", "_r.text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (position - start).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
 
-from .common import map_arrow, map_texts, read, stage
+from .common import fresh, map_arrow, map_texts, read, stage
 
 BITS = 64
 SEED = 42
@@ -248,7 +248,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     unnamed = df.where(F.col(id_col).isNull())
     lone = found.where("id is null and component_id is null").select("fp").distinct()
     own = F.udf(lambda t: int(np.array(fingerprint(t, how.get("shingle", 4)), np.uint64).view(np.int64)), "long")
-    unnamed = unnamed.withColumn("_fp", own(F.col(text_col))).join(lone.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").drop("_fp")
+    fp = fresh(df, "_fp")
+    unnamed = unnamed.withColumn(fp, own(F.col(text_col))).join(lone.withColumnRenamed("fp", fp), fp, "left_semi").drop(fp)
     return kept.unionByName(unnamed)
 
 

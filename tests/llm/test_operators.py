@@ -133,7 +133,8 @@ def test_sharding(docs, plain):
 
 
 def test_sharding_odd(spark, tmp_path):
-    d = odd(spark).withColumn("slot", F.lit("clash"))
+    d = odd(spark).withColumns({"slot": F.lit("clash"), "_h": F.lit("x"), "Row": F.lit("y"), "_bucket": F.lit(1)})
+    assert {(r["_h"], r["Row"], r["_bucket"]) for r in sharding.shard_records(d).collect()} == {("x", "y", 1)}
     got = sharding.shard_records(d).collect()
     assert len(got) == 10 and all(r["slot"] == 0 for r in got) and len({r["shard"] for r in got}) == 10
     assert sharding.shard_records(d.limit(0)).count() == 0
@@ -271,12 +272,12 @@ def test_measures_by_brute_force():
 
 
 def test_rules_and_lines_odd(spark):
-    d = odd(spark).withColumn("kept", F.lit("clash")).withColumn("n_lines", F.lit("clash")).withColumn("_lines", F.lit("x"))
+    d = odd(spark).withColumn("kept", F.lit("clash")).withColumn("n_lines", F.lit("clash")).withColumns({"_lines": F.lit("x"), "_id": F.lit("y"), "th": F.lit(1), "starts": F.lit(2)})
     got = quality_rules.apply_rules(d).collect()
     assert len(got) == 10 and not any(r["kept"] for r in got if r["id"] != 9)
     assert quality_rules.apply_rules(d.limit(0)).count() == 0
     same = line_dedup.dedup_lines(d)
-    assert same.count() == 10 and same.where("n_removed > 0").count() == 0 and "_lines" in same.columns
+    assert same.count() == 10 and same.where("n_removed > 0 or _lines <> 'x' or _id <> 'y' or th <> 1 or starts <> 2").count() == 0
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
 
 
@@ -413,7 +414,8 @@ def test_mixing(spark):
 
 
 def test_mixing_odd(spark):
-    d = odd(spark).withColumn("size", F.lit("clash"))
+    d = odd(spark).withColumns({"SIZE": F.lit("clash"), "_key": F.lit("x"), "_source": F.lit("y"), "_rank": F.lit(1)})
+    assert {(r["_key"], r["_source"], r["_rank"]) for r in mixing.mix_sources(d).collect()} == {("x", "y", 1)}
     assert mixing.mix_sources(d).where("copies between 0 and 3").count() == 10
     assert mixing.mix_sources(d.limit(0)).count() == 0
     assert mixing.mix_sources(spark.createDataFrame([(1, None, None), (2, "", "x")], DOCS)).where("taken = 0 and target = 0").count() == 2
