@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.backends import FixedReader, read_pages
-from foliant.operators import assembly, extraction, imaging
+from foliant.operators import assembly, extraction, imaging, reading
 from foliant.plans.documents import _rendered
 from foliant.plans.registry import query, table
 
@@ -150,3 +150,17 @@ def read_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.when(F.col("page_id") % 10 == 0, F.encode(F.lit(""), "UTF-8")).otherwise(F.encode("html", "UTF-8")).alias("content"))
     words = read_pages(p, FixedReader())
     return words.select("page_id", "ok", F.posexplode_outer("words").alias("at", "w")).select("page_id", "ok", "at", "w.*")
+
+
+@query("document_results", "SELECT o_orderkey AS document_id, 'INV-' || o_orderkey AS invoice_number, CAST(NULL AS VARCHAR) AS currency_conflict, CASE WHEN o_orderkey % 2 = 0 THEN 'cash' ELSE 'credit_card' END AS payment_method FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0")
+def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages for each document, the second with another date: the date stays open, the rest is sure."""
+    lines = _rendered(spark, sf_dir).where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page"), "line", "text", F.lit(0.8).alias("confidence"))
+    again = lines.withColumns({"page": F.lit(2), "text": F.when(F.col("text").startswith("Date"), F.lit("Date: 1999-12-31")).otherwise(F.col("text"))})
+    results, _ = reading.extract_documents(lines.unionByName(again))
+    return results.select("document_id", F.col("invoice_number.value").alias("invoice_number"), F.col("date.value").alias("currency_conflict"), F.col("payment_method.value").alias("payment_method"))
+
+
+@query("sampled_angles", "WITH u AS (SELECT doc_id, CAST('0x' || substr(sha256('7|' || doc_id || '|3'), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE AS u FROM documents) SELECT doc_id, round(CASE WHEN u < 0.25 THEN 0 ELSE -180 + (u - 0.25) / 0.75 * 360 END, 6) AS angle FROM u")
+def sampled_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", r(reading.sampled_angle(F.col("doc_id"), 3, 7)).alias("angle"))

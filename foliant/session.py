@@ -80,13 +80,14 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores if it is a plain scan of fewer splits, else as it is.
+    """``df`` dealt out to more cores if it is a plain scan of fewer splits than cores, else as it is.
 
     For work that costs much more than moving the rows: a small input in one file would keep one core busy.
+    It makes eight tasks of a split at most.
     """
     plan = df._jdf.queryExecution()
     shown = plan.executedPlan().toString()
     if "AdaptiveSparkPlan" in shown or "Exchange" in shown:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, plan.toRdd().getNumPartitions()
+    return df.repartition(min(cores, 8 * max(1, splits))) if splits < cores else df

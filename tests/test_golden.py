@@ -188,3 +188,13 @@ def test_align(spark):
     schema = "p int, id int, text string, x0 double, y0 double, x1 double, y1 double"
     got = {(x["source"], x["ocr"]) for x in matching.align_tokens(spark.createDataFrame(s, schema), spark.createDataFrame(o, schema), ["p"]).collect()}
     assert got == {(0, 0), (1, 0), (2, 1)}
+
+
+def test_normal_words(spark):
+    from foliant.operators import reading
+
+    rows = [("p", 0, "Total", None, "0.9", None, [0.0, 0.0, 10.0, 5.0], None), ("p", 1, None, " 12 ", None, "1.7", None, [[0.0, 0.0], [9.0, 1.0], [9.0, 6.0], [0.0, 5.0]]), ("p", 2, " ", None, "0.1", None, [0.0, 0.0, 1.0, 1.0], None), ("p", 3, "x", None, "nan", None, [5.0, 5.0, 5.0, 5.0], None)]
+    d = spark.createDataFrame(rows, "page string, at int, rec_text string, text string, rec_score string, score string, box array<double>, poly array<array<double>>")
+    words, problems = reading.normal_words(d, "page", "at", ["rec_text", "text"], ["rec_score", "score"], "box", "poly")
+    assert [(r["text"], r["confidence"], r["x1"], r["y1"]) for r in words.orderBy("at").collect()] == [("Total", 0.9, 10.0, 5.0), ("12", 1.0, 9.0, 6.0)]
+    assert [(r["at"], r["problem"]) for r in problems.collect()] == [(3, "bad_geometry")]
