@@ -137,7 +137,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept(("tokens", path), lambda: WordTokens(path))
         for b in batches:
-            for at, n in slices(b.column(1)):
+            for at, n in slices(b.column(1), 2 << 20):
                 row, piece, start, length, crc, held = [], [], [], [], [], []
                 flat, cut = tokens(b.column(1).slice(at, n))
                 for k, (x, y) in enumerate(itertools.pairwise(cut.tolist())):

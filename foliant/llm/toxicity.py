@@ -109,8 +109,8 @@ class Machine:
         size = np.fromiter(map(len, words), np.int64, len(words))
         least = np.maximum(N, np.ceil(0.6 * np.bitwise_count(self._mask))).astype(np.int64)
         order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 20_000):
-            rows = order[at : at + 20_000]
+        for at in range(0, len(order), 10_000):
+            rows = order[at : at + 10_000]
             width = int(size[rows].max())
             if width < N:
                 continue
@@ -121,8 +121,8 @@ class Machine:
                 continue
             need, back = np.unique(w, return_inverse=True)
             own = np.sqrt(np.maximum(kernel(codes[need], codes[need]), 1e-12))
-            for k in range(0, len(w), 100_000):
-                cut = slice(k, k + 100_000)
+            for k in range(0, len(w), 30_000):
+                cut = slice(k, k + 30_000)
                 value = kernel(codes[w[cut]], self._codes[m[cut]])
                 out[rows[w[cut]], m[cut]] = value / (own[back[cut]] * self._self[m[cut]])
         return out
@@ -332,7 +332,7 @@ def _scored(machine: Machine, text_col: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(key, lambda: machine)
         for b in batches:
-            value = [own.of_texts(b.column(text_col).slice(at, n)) for at, n in slices(b.column(text_col), 1 << 20)]
+            value = [own.of_texts(b.column(text_col).slice(at, n)) for at, n in slices(b.column(text_col), 1 << 19)]
             p = own.probability(np.concatenate(value)) if value else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(p, pa.float64())], [*b.schema.names[:width], "toxicity"])
 
