@@ -65,8 +65,8 @@ def ship_code(spark: SparkSession) -> None:
     here, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [here, env.get("PYTHONPATH")]))
-        # With fixed limits glibc maps every array of a megabyte by itself instead of growing a heap that stays.
-        env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+        # With fixed limits glibc maps every array of four megabytes by itself instead of growing a heap that stays.
+        env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
         env.setdefault("MALLOC_ARENA_MAX", "2")
         # Each core has a task of its own: threads inside numpy would only compete with them.
         env.setdefault("OPENBLAS_NUM_THREADS", "1")
