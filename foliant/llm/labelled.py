@@ -25,9 +25,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    # sum(most.values()) rows of two numbers: a bound that doesn't grow with the corpus.
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    seen: dict[object, tuple[str, int]] = {}
-    for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"] or "")):
-        seen.setdefault(r["doc_id"], (r["text"] or "", r["y"]))
-    return list(seen.values())
+    # sum(most.values()) ids: a bound that doesn't grow with the corpus. An id with several texts has its first.
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    rows = sorted(found.collect(), key=lambda r: str(r["doc_id"]))
+    return [(r["text"] or "", r["y"]) for r in rows]

@@ -30,6 +30,7 @@ from .labelled import held_out, labelled_sample
 N, DECAY = 3, 0.6
 LONGEST = 24  # longer words are compared window by window
 NO_WORD = -9.0
+SURE = 14.0  # how many toxic documents times log odds: more than chance gives among all words of a sample
 _SPELT = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 _SPELT_SOMEWHERE = r"(?:^|\s)(?:[^\s][ \t]){3,}[^\s](?:\s|$)"
 _OTHER = re.compile(r"[\W_]+")
@@ -109,8 +110,8 @@ class Machine:
         size = np.fromiter(map(len, words), np.int64, len(words))
         least = np.maximum(N, np.ceil(0.6 * np.bitwise_count(self._mask))).astype(np.int64)
         order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 10_000):
-            rows = order[at : at + 10_000]
+        for at in range(0, len(order), 2_000):
+            rows = order[at : at + 2_000]
             width = int(size[rows].max())
             if width < N:
                 continue
@@ -121,8 +122,8 @@ class Machine:
                 continue
             need, back = np.unique(w, return_inverse=True)
             own = np.sqrt(np.maximum(kernel(codes[need], codes[need]), 1e-12))
-            for k in range(0, len(w), 30_000):
-                cut = slice(k, k + 30_000)
+            for k in range(0, len(w), 8_000):
+                cut = slice(k, k + 8_000)
                 value = kernel(codes[w[cut]], self._codes[m[cut]])
                 out[rows[w[cut]], m[cut]] = value / (own[back[cut]] * self._self[m[cut]])
         return out
@@ -193,10 +194,10 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> tuple[li
     n_pos, n_neg = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     odds = {g: math.log((n + 0.1) / (n_pos + 1)) - math.log((neg[g] + 0.5) / (n_neg + 1)) for g, n in pos.items()}
     # Whole words that stand in several toxic documents and hardly elsewhere come first, each for itself.
-    sure = sorted((g for g, n in pos.items() if g.startswith("^") and n >= 3 and odds[g] > 3), key=lambda g: (-pos[g], g))
+    sure = sorted((g for g, n in pos.items() if g.startswith("^") and odds[g] > 3 and n * odds[g] > SURE), key=lambda g: (-pos[g], g))
     out = [g[1:] for g in sure[: most // 2]]
     seen_grams = {g for w in out for g in marks(w)}
-    good = {g for g, o in odds.items() if o > 1.5} - seen_grams
+    good = {g for g, o in odds.items() if o > 1.5 and pos[g] * o > SURE} - seen_grams
     left = [(bag, m) for bag, m in toxic_docs if not m & {f"^{w}" for w in out}]
     while left and len(out) < most:
         seen = Counter(g for _, m in left for g in m if g in good)
