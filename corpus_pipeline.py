@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import read, shared_folder
 from foliant.llm.line_dedup import dedup_lines
 from foliant.llm.mixing import mix_sources
+from foliant.llm.near_copies import drop_near_copies
 from foliant.llm.packing import pack_sequences
-from foliant.llm.simhash import drop_near_duplicates
 from foliant.llm.toxicity import score_toxicity
 
 TOXIC = 0.5
@@ -36,8 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group."""
-    return drop_near_duplicates(docs)
+    """The document of the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
