@@ -251,8 +251,9 @@ def ocr_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("text_error_rates", r"WITH p AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations WHERE regexp_full_match(text, '[\x20-\x7E\n]*') AND length(text) < 1000) SELECT conv_id, turn, levenshtein(text, substr(text, 3)) AS char_edits, round(levenshtein(text, substr(text, 3)) / greatest(1, length(text)), 6) AS cer FROM p".replace(", list_filter(string_split(text, ' '), lambda x: x <> '') AS w", ""))
 def text_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\A[\x20-\x7E\n]*\z") & (F.length("text") < 1000))
-    edits = F.levenshtein("text", F.substring("text", 3, 100_000)).cast("long")
+    """Every turn against itself without its first two characters. The SQL covers ASCII turns under 1,000 characters."""
+    c = spread(table(spark, sf_dir, "conversations"))
+    edits = F.levenshtein("text", F.substr("text", F.lit(3))).cast("long")
     return c.select("conv_id", "turn", edits.alias("char_edits"), r(edits / F.greatest(F.lit(1), F.length("text"))).alias("cer"))
 
 

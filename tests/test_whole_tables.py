@@ -47,3 +47,28 @@ def test_ocr_quality_of_all_documents(spark, sf_dir, con, tmp_path):
         assert got[i][0] == n and got[i][1] == pytest.approx(total, abs=2e-6)
     covered = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 10 = 0").where(f"text rlike '{ASCII.replace(chr(92), chr(92) * 2)}'").select("doc_id")
     assert difference(QUERIES["ocr_quality_score"](spark, sf_dir).join(covered, "doc_id", "left_semi"), con, SQL["ocr_quality_score"]) == ""
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rates_of_all_turns(spark, sf_dir, con, tmp_path):
+    texts = ["plain", "déjà vu, naïve", "ab" * 600 + "é", "𝒳y日本語", "", "é"]
+    folder = save(spark, tmp_path, "conversations", [(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string")
+    got = {r["turn"]: (r["char_edits"], r["cer"]) for r in QUERIES["text_error_rates"](spark, folder).collect()}
+    want = {k: edits(t, t[2:]) for k, t in enumerate(texts)}
+    assert got == {k: (n, pytest.approx(n / max(1, len(texts[k])), abs=1e-6)) for k, n in want.items()}
+    all_turns = QUERIES["text_error_rates"](spark, sf_dir)
+    assert all_turns.count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
+    covered = con.execute("SELECT DISTINCT conv_id, turn FROM (" + SQL["text_error_rates"] + ")").df()
+    few = all_turns.join(spark.createDataFrame(covered), ["conv_id", "turn"], "left_semi")
+    own = con.execute("SELECT conv_id, turn FROM conversations GROUP BY 1, 2 HAVING count(*) = 1").df()
+    own = spark.createDataFrame(own)
+    sql = f"SELECT * FROM ({SQL['text_error_rates']}) WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1)"
+    assert difference(few.join(own, ["conv_id", "turn"], "left_semi"), con, sql) == ""
