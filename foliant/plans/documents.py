@@ -340,7 +340,7 @@ def assembled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_grid")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("p"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("p"))
     y = F.col("l_linenumber") * 20.0
     cells = l.select("l_orderkey", F.explode(F.array(*[F.struct(F.concat(F.col("l_linenumber").cast("string"), F.lit(f"-{k}")).alias("id"), F.col(c).cast("string").alias("text"), F.lit(k * 100.0).alias("x0"), (y + k).alias("y0"), F.lit(k * 100.0 + 80).alias("x1"), (y + 12).alias("y1")) for k, c in enumerate(("l_linenumber", "q", "p"))])).alias("c")).select("l_orderkey", "c.*")
     head = l.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(*[F.struct(F.lit(f"h-{k}").alias("id"), F.lit(c).alias("text"), F.lit(k * 100.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(k * 100.0 + 80).alias("x1"), F.lit(12.0).alias("y1")) for k, c in enumerate(("Item", "Qty", "Amount"))])).alias("c")).select("l_orderkey", "c.*")

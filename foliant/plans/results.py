@@ -131,16 +131,24 @@ def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("zone", F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(90 / 7.5) - 1)), lambda k: (F.col("zone") - 1) * 90 + k * 7.5)).alias("angle"))
 
 
+def _page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bytes of each page as a gray image, as square as they go: the last row is filled up with zeros."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("raw"))
+    n = F.greatest(F.lit(1), F.octet_length("raw"))
+    p = p.withColumn("width", F.ceil(F.sqrt(n)).cast("int")).withColumn("height", F.ceil(n / F.col("width")).cast("int"))
+    return p.select("id", F.expr("rpad(raw, height * width, X'00')").alias("pixels"), "height", "width")
+
+
 @query("image_features")
 def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' bytes as small gray images: their feature vectors."""
-    i = table(spark, sf_dir, "pages").where("length(html) >= 1024").select(F.col("page_id").alias("id"), F.substring(F.encode("html", "UTF-8"), 1, 1024).alias("pixels"), F.lit(32).alias("height"), F.lit(32).alias("width"))
+    i = _page_images(spark, sf_dir)
     return imaging.over_images(i, lambda g: imaging.feature_vector(g).tolist(), "features", "array<float>")
 
 
 @query("image_hashes")
 def image_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "pages").where("length(html) >= 1024").select(F.col("page_id").alias("id"), F.substring(F.encode("html", "UTF-8"), 1, 1024).alias("pixels"), F.lit(32).alias("height"), F.lit(32).alias("width"))
+    i = _page_images(spark, sf_dir)
     return imaging.over_images(i, imaging.perceptual_hash, "hash", "long")
 
 
@@ -154,8 +162,8 @@ def read_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("document_results", "SELECT o_orderkey AS document_id, 'INV-' || o_orderkey AS invoice_number, CAST(NULL AS VARCHAR) AS currency_conflict, CASE WHEN o_orderkey % 2 = 0 THEN 'cash' ELSE 'credit_card' END AS payment_method FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0")
 def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pages for each document, the second with another date: the date stays open, the rest is sure."""
-    lines = _rendered(spark, sf_dir).where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page"), "line", "text", F.lit(0.8).alias("confidence"))
+    """Two pages for each order, the second with another date: the date stays open, the rest is sure. The SQL covers every fifth order."""
+    lines = _rendered(spark, sf_dir).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page"), "line", "text", F.lit(0.8).alias("confidence"))
     again = lines.withColumns({"page": F.lit(2), "text": F.when(F.col("text").startswith("Date"), F.lit("Date: 1999-12-31")).otherwise(F.col("text"))})
     results, _ = reading.extract_documents(lines.unionByName(again))
     return results.select("document_id", F.col("invoice_number.value").alias("invoice_number"), F.col("date.value").alias("currency_conflict"), F.col("payment_method.value").alias("payment_method"))

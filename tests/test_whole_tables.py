@@ -72,3 +72,20 @@ def test_error_rates_of_all_turns(spark, sf_dir, con, tmp_path):
     own = spark.createDataFrame(own)
     sql = f"SELECT * FROM ({SQL['text_error_rates']}) WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1)"
     assert difference(few.join(own, ["conv_id", "turn"], "left_semi"), con, sql) == ""
+
+
+@pytest.mark.parametrize("name, key, source, column", [("table_grid", "l_orderkey", "lineitem", "l_orderkey"), ("document_results", "document_id", "orders", "o_orderkey"), ("image_features", "id", "pages", "page_id"), ("image_hashes", "id", "pages", "page_id")])
+def test_every_order_and_page(spark, name, key, source, column):
+    small = "/root/testdata/sf0.001"
+    want = {r[0] for r in spark.read.parquet(f"{small}/{source}.parquet").select(column).distinct().collect()}
+    got = QUERIES[name](spark, small)
+    assert {r[0] for r in got.select(key).distinct().collect()} == want
+    if name == "document_results":
+        assert difference(got.where("document_id % 5 = 0"), connect(small), SQL[name]) == ""
+
+
+def test_images_hold_whole_pages(spark, tmp_path):
+    html = {1: "<p>é</p>", 2: "", 3: "x" * 5000 + "end"}
+    folder = save(spark, tmp_path, "pages", list(html.items()), "page_id long, html string")
+    for r in registry.results._page_images(spark, folder).collect():
+        assert len(r["pixels"]) == r["height"] * r["width"] > 0 and bytes(r["pixels"]).rstrip(b"\0") == html[r["id"]].encode()
