@@ -7,6 +7,7 @@ use lower-case and stay in the JVM.
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 
@@ -53,10 +54,15 @@ def alignment_text(x: pd.Series) -> pd.Series:
     return _folded(x).map(lambda t: None if t is None else re.sub(r"[^\w฀-๿]+", "", t))
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 0 to 1."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def text_score(source: Column, ocr: Column) -> Column:

@@ -83,6 +83,10 @@ def align_tokens(source: DataFrame, ocr: DataFrame, by: list[str], least: float
     b = ocr.where("text <> ''").select(*by, *[F.col(c).alias(f"o_{c}") for c in names])
     x = a.join(b, by)
     place = g.closeness(g.Box.columns("s_"), g.Box.columns("o_"))
+    # The fuzzy score is 2 M / (a + b) with M letters in common, the shorter text's at most: pairs that can't reach ``least`` are not scored.
+    la, lb = F.length("s_text"), F.length("o_text")
+    held = F.col("s_text").contains(F.col("o_text")) | F.col("o_text").contains(F.col("s_text"))
+    x = x.where(0.7 * F.when(held, 1.0).otherwise(2 * F.least(la, lb) / (la + lb)) + 0.3 * place >= least - 1e-9)
     x = x.withColumn("_text", text_score(F.col("s_text"), F.col("o_text")))
     x = x.select(*by, F.col("s_id").alias("source"), F.col("o_id").alias("ocr"), (0.7 * F.col("_text") + 0.3 * place).alias("score"), match_type(F.col("s_text"), F.col("o_text")).alias("kind")).where(F.col("score") >= least)
     x = x.withColumn("_again", F.col("kind").isin("ocr_contains_annotation", "annotation_contains_ocr"))

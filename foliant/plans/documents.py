@@ -163,8 +163,8 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("token_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of turns against the same words with some lost and some joined."""
-    t = table(spark, sf_dir, "conversations").where("conv_id % 4 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("page"), F.posexplode(F.split("text", " ")).alias("id", "raw"))
-    t = t.where("id < 60").withColumn("text", text.plain_alignment_text(F.col("raw"))).withColumns({"x0": F.col("id") * 50.0, "y0": F.lit(0.0), "x1": F.col("id") * 50.0 + 40, "y1": F.lit(10.0)})
+    t = spread(table(spark, sf_dir, "conversations")).select(F.concat_ws("-", "conv_id", "turn").alias("page"), F.posexplode(F.split("text", " ")).alias("id", "raw"))
+    t = t.withColumn("text", text.plain_alignment_text(F.col("raw"))).withColumns({"x0": F.col("id") * 50.0, "y0": F.lit(0.0), "x1": F.col("id") * 50.0 + 40, "y1": F.lit(10.0)})
     ocr = t.where("id % 9 <> 8").withColumn("text", F.when(F.col("id") % 5 == 4, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
     return matching.align_tokens(t, ocr, ["page"])
 

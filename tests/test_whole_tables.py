@@ -89,3 +89,16 @@ def test_images_hold_whole_pages(spark, tmp_path):
     folder = save(spark, tmp_path, "pages", list(html.items()), "page_id long, html string")
     for r in registry.results._page_images(spark, folder).collect():
         assert len(r["pixels"]) == r["height"] * r["width"] > 0 and bytes(r["pixels"]).rstrip(b"\0") == html[r["id"]].encode()
+
+
+def test_whole_turns_are_aligned(spark, tmp_path):
+    turns = [(c, k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{i}" for i in range(n))) for c, k, n in ((1, 0, 130), (2, 0, 5), (4, 1, 70), (7, 3, 61))]
+    folder = save(spark, tmp_path, "conversations", turns, "conv_id long, turn int, text string")
+    pages = {}
+    for r in QUERIES["token_alignment"](spark, folder).collect():
+        pages.setdefault(r["page"], {})[r["source"]] = r["ocr"]
+    assert set(pages) == {f"{c}-{k}" for c, k, _ in turns}
+    for c, k, text in turns:
+        for i in range(len(text.split(" "))):
+            if i % 9 != 8:  # the others are lost
+                assert pages[f"{c}-{k}"][i] == i
