@@ -273,10 +273,10 @@ def without_copies(bags: list[set[str]]) -> list[int]:
 
 
 def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int = 16, rounds: int = 4) -> Machine:
-    """A machine from (text, toxic) pairs. Without both labels it answers the share of toxic ones, 0.5 of none."""
+    """A machine from (text, toxic) pairs. Without both labels nothing is known to be toxic: it answers the share of toxic ones, 0.25 at most."""
     y = np.array([label for _, label in sample])
     if not len(y) or y.min() == y.max():  # nothing to tell apart
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = min(0.25, (y.sum() + 0.5) / (len(y) + 1))
         return Machine([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))
     bags = [{x for x in map(letters, words_of(t)) if N <= len(x) <= LONGEST} for t, _ in sample]
     alone = without_copies(bags)
