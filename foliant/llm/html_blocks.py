@@ -8,7 +8,7 @@ import re
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"  # text that is no page text
+    r"|<(script|style|template|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"  # text that is no page text
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # tag
     r"|<[!?][^>]*>",  # declaration
     re.DOTALL | re.IGNORECASE,
@@ -18,8 +18,12 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " canvas noscript object svg g text tspan textpath path rect circle ellipse line polyline polygon defs use symbol"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom menclose merror semantics annotation".split()
 )
+#: What may stand in a head; any other start tag, or text outside of these, ends it.
+_HEAD = frozenset("html head title meta link base script style noscript template".split())
 # A start tag of the first kind ends an open element of the second, up to the nearest of the third.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -95,8 +99,10 @@ def blocks(page: str | None, contexts: Contexts) -> list[tuple[str, frozenset[st
         linked = 0
 
     for m in _TAG.finditer(page):
-        if m.start() > at and not head:
-            piece = page[at : m.start()]
+        piece = page[at : m.start()]
+        if head and piece.strip() and not any(t in _HEAD for t, _ in stack):
+            head = 0
+        if piece and not head:
             run.append(piece)
             if links:
                 linked += len(piece)
@@ -123,7 +129,7 @@ def blocks(page: str | None, contexts: Contexts) -> list[tuple[str, frozenset[st
         if tag == "head":
             head = 1
             continue
-        if tag == "body":
+        if head and tag not in _HEAD and not any(t == "noscript" for t, _ in stack):
             head = 0
         if tag in ("html", "body"):
             flush()
@@ -158,7 +164,7 @@ def blocks(page: str | None, contexts: Contexts) -> list[tuple[str, frozenset[st
             links += 1
         if len(stack) < 400:
             stack.append((tag, contexts.inside(stack[-1][1] if stack else root, tag, m[4].strip())))
-    if at < len(page) and not head:
+    if at < len(page) and not (head and any(t in _HEAD for t, _ in stack)):
         run.append(page[at:])
     flush()
     return out
