@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
+from collections.abc import Iterator
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"  # comment
-    r"|<(script|style|template|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"  # text that is no page text
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # tag
-    r"|<[!?][^>]*>",  # declaration
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"[>\"']")
+#: Elements whose content is no page text. Without an end tag, scripts and styles reach to the end of the page, and the others hold text like any element.
+_SILENT = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("script", "style", "template", "iframe")}
+_TO_THE_END = frozenset(("script", "style"))
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -35,55 +35,157 @@ _CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 
-#: Words in names of elements that tell what they hold.
-TELLING = frozenset(
-    "nav navigation menu menubar header masthead topbar banner footer foot bottom copyright legal sidebar side aside rail widget ad ads adv advert advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form comment comments reply replies respond discussion disqus feedback review reviews related recommended recommendations popular trending share sharing social breadcrumb breadcrumbs pagination pager author byline tool toolbar skip article post entry story content main body text".split()
-)
 _LONG = (0, 1, 3, 6, 12, 25, 50, 100)
 
 
-def telling(attributes: str) -> set[str]:
-    found = set()
-    for m in _ATTRIBUTE.finditer(attributes):
-        for w in _NAME_PARTS.findall(m[2] or m[3] or m[4] or ""):
-            w = w.lower()
-            if w in TELLING:
-                found.add(f"name:{w}")
-    return found
+def name_parts(attributes: str) -> set[str]:
+    """The words in the names that an element bears."""
+    return {f"name:{w.lower()}" for m in _ATTRIBUTE.finditer(attributes) for w in _NAME_PARTS.findall(m[2] or m[3] or m[4] or "")}
 
 
 class Contexts:
-    """Features of a stack of open elements, made once for each element in each context."""
+    """Features of a stack of open elements, made once for each element in each context.
 
-    def __init__(self, most: int = 50_000):
-        self.most = most
-        self.known: dict[tuple, frozenset[str]] = {}
+    With ``known`` features, others are left out, so that no page can make the sets grow.
+    """
+
+    def __init__(self, known: frozenset[str] | None = None, most: int = 50_000):
+        self.known, self.most = known, most
+        self.made: dict[tuple, frozenset[str]] = {}
 
     def inside(self, outer: frozenset[str], tag: str, attributes: str) -> frozenset[str]:
         key = (outer, tag, attributes)
-        got = self.known.get(key)
+        got = self.made.get(key)
         if got is None:
-            if len(self.known) > self.most:
-                self.known.clear()
-            got = outer | {f"in:{tag}"} | (telling(attributes) if attributes else set())
-            self.known[key] = got = frozenset(got)
+            if len(self.made) > self.most:
+                self.made.clear()
+            own = {f"in:{tag}"} | (name_parts(attributes) if attributes else set())
+            got = self.made[key] = outer | (own if self.known is None else own & self.known)
         return got
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag name, is an end tag, attributes) of each piece of markup in page order; comments and the like have no name.
+
+    Every character is looked at a bounded number of times, however broken the page is: what a search
+    has not found once is not searched for again. A quote that is never closed is a character like any other, and so are all
+    quotes once a tag doesn't end outside of them. A tag without an end is text.
+    """
+    n, at = len(page), 0
+    last_end = page.rfind(">")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    quotes, comments, missing = True, True, set()
+    while True:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last_end and not page.startswith("<!--", begin):
+            return
+        at = begin + 1
+        c = page[at : at + 1]
+        if c in ("!", "?"):
+            if comments and page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                if end < 0:
+                    comments, end = False, n  # an open comment reaches to the end
+                end = min(n, end + 3)
+            else:
+                end = page.find(">", at) + 1
+                if not end:
+                    return
+            yield begin, end, "", False, ""
+            at = end
+            continue
+        closing = c == "/"
+        named = _NAME.match(page, at + closing)
+        if not named:
+            continue
+        i = named.end()
+        if quotes:
+            while m := _QUOTE_OR_END.search(page, i):
+                if m[0] == ">":
+                    break
+                i = m.end() if m.start() == last_quote[m[0]] else page.find(m[0], m.end()) + 1
+            if not m:
+                quotes = False
+        # Without quotes the first mark ends the tag; there is one, for this tag begins before the last.
+        i = m.start() if quotes else page.find(">", named.end())
+        if i < 0:
+            return
+        tag, attributes = named[0].lower(), page[named.end() : i]
+        at = i + 1
+        if not closing and tag in _SILENT and tag not in missing:
+            m = _SILENT[tag].search(page, at)
+            if m or tag in _TO_THE_END:
+                at = m.end() if m else n
+                yield begin, at, "", False, ""
+                continue
+            missing.add(tag)
+        yield begin, at, tag, closing, attributes
+
+
+class _Open:
+    """The open elements of a page, with the places of each kind, so that no look-up walks the stack."""
+
+    def __init__(self):
+        self.inside: list[frozenset[str]] = []
+        self.tags: list[str] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block elements
+
+    def push(self, tag: str, inside: frozenset[str]) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.inside.append(inside)
+        self.where.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.inside.pop()
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def holds(self, tags) -> bool:
+        return any(self.where.get(t) for t in tags)
+
+    def close(self, tag: str) -> None:
+        at = self.last((tag,))
+        # The end of an inline element doesn't reach out of its block.
+        if at >= 0 and (tag not in INLINE or not self.blocks or at > self.blocks[-1]):
+            self.cut(at)
+
+    def make_room(self, tag: str) -> None:
+        """What the start of a block element ends: its like within a list or table, or an open paragraph."""
+        if tag in _CLOSES:
+            ended, scope = _CLOSES[tag]
+            limit = self.last(scope)
+            first = min((w[k] for t in ended if (w := self.where.get(t)) and (k := bisect.bisect_right(w, limit)) < len(w)), default=-1)
+            if first >= 0:
+                self.cut(first)
+        elif self.blocks and self.tags[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+
+
 def blocks(page: str | None, contexts: Contexts) -> list[tuple[str, frozenset[str], str, int]]:
     """(text, ancestors' features, nearest block element, characters in links) in page order.
 
     A leaf block is a run of text that no start or end of a block element interrupts; ``br`` is white space.
     White space becomes one space, character references are decoded. Text of scripts, styles, comments,
-    declarations and the page's head is left out. Broken markup never fails.
+    declarations and the page's head is left out. Broken markup never fails, nesting has no limit, and the time is in proportion to the page.
     """
     if not page:
         return []
     out: list[tuple[str, frozenset[str], str, int]] = []
     root = frozenset()
-    stack: list[tuple[str, frozenset[str]]] = []  # open elements
+    stack = _Open()
     run: list[str] = []
-    linked, links, head, at = 0, 0, 0, 0
+    linked, head, at = 0, False, 0
 
     def flush() -> None:
         nonlocal linked
@@ -94,47 +196,39 @@ def blocks(page: str | None, contexts: Contexts) -> list[tuple[str, frozenset[st
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                near = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                out.append((text, stack[-1][1] if stack else root, near, linked))
+                out.append((text, stack.inside[-1] if stack.inside else root, stack.tags[stack.blocks[-1]] if stack.blocks else "", linked))
         linked = 0
 
-    for m in _TAG.finditer(page):
-        piece = page[at : m.start()]
-        if head and piece.strip() and not any(t in _HEAD for t, _ in stack):
-            head = 0
+    for begin, end, tag, closing, attributes in markup(page):
+        piece = page[at:begin]
+        if head and piece.strip() and not stack.holds(_HEAD):
+            head = False
         if piece and not head:
             run.append(piece)
-            if links:
+            if stack.where.get("a"):
                 linked += len(piece)
-        at = m.end()
-        name = m[3]
-        if name is None:
+        at = end
+        if not tag:
             continue
-        tag = name.lower()
-        if m[2]:
+        if closing:
             if tag == "head":
-                head = 0
+                head = False
             if tag not in INLINE:
                 flush()
             if tag == "br":
                 run.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end doesn't reach out of its block
+            stack.close(tag)
             continue
         if tag == "head":
-            head = 1
+            head = True
             continue
-        if head and tag not in _HEAD and not any(t == "noscript" for t, _ in stack):
-            head = 0
+        if head and tag not in _HEAD and not stack.holds(("noscript",)):
+            head = False
+        inside = stack.inside[-1] if stack.inside else root
         if tag in ("html", "body"):
             flush()
-            if tag == "body" and m[4]:
-                stack.append((tag, contexts.inside(stack[-1][1] if stack else root, tag, "")))
+            if tag == "body" and attributes:
+                stack.push(tag, contexts.inside(inside, tag, ""))
             continue
         if tag in INLINE:
             if tag in VOID:
@@ -142,34 +236,17 @@ def blocks(page: str | None, contexts: Contexts) -> list[tuple[str, frozenset[st
                 continue
         else:
             flush()
-            closes = _CLOSES.get(tag)
-            if closes:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closes[1]:
-                        break
-                    if stack[i][0] in closes[0]:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-            else:
-                for i in range(len(stack) - 1, -1, -1):  # a block start ends an open paragraph
-                    if stack[i][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            stack.make_room(tag)
             if tag in VOID:
                 continue
-        if tag == "a":
-            links += 1
-        if len(stack) < 400:
-            stack.append((tag, contexts.inside(stack[-1][1] if stack else root, tag, m[4].strip())))
-    if at < len(page) and not (head and any(t in _HEAD for t, _ in stack)):
+        stack.push(tag, contexts.inside(stack.inside[-1] if stack.inside else root, tag, attributes.strip()))
+    if at < len(page) and not (head and stack.holds(_HEAD)):
         run.append(page[at:])
     flush()
     return out
 
 
+_DIGIT = re.compile(r"\d")
 _CLAIM = re.compile(r"©|\(c\)|copyright|all rights reserved|privacy|cookie", re.IGNORECASE)
 
 
@@ -181,13 +258,13 @@ def text_features(text: str, near: str, linked: int) -> list[str]:
     out.append(f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
     end = text[-1]
     out.append("end:stop" if end in ".!?…\"”»)" else "end:letter" if end.isalnum() else "end:mark")
-    if len(text) < 400 and _CLAIM.search(text):
+    if _CLAIM.search(text):
         out.append("claim")
     if text[0] in "©|»›•·":
         out.append("start:mark")
     if words > 6 and text.count(",") > 0:
         out.append("comma")
-    if any(c.isdigit() for c in text[:80]):
+    if _DIGIT.search(text):
         out.append("digit")
     return out
 

@@ -1,6 +1,6 @@
 """Main text of HTML pages by a linear-chain conditional random field over leaf blocks.
 
-Each block is main text or not. Its features are the tags and telling names of its ancestors,
+Each block is main text or not. Its features are the tags and names of its ancestors,
 its own text's length, links, ending and marks, and its place in the page; neighbours' labels are tied by
 transition weights. The field is trained on labelled pages by the exact gradient of the conditional likelihood
 (forward-backward) and decoded by Viterbi. Whole batches of pages are decoded together.
@@ -42,6 +42,7 @@ class Field:
     contexts: Contexts = field(default_factory=Contexts)
 
     def __post_init__(self):
+        self.contexts = Contexts(frozenset(self.index))
         self._margin = dict(zip(self.index, (self.emit[:, 1] - self.emit[:, 0]).tolist(), strict=True))
         self._of_context: dict[frozenset[str], float] = {}
 
