@@ -3,7 +3,8 @@
 Texts are bags of terms: words, the shapes of words (letters, digits and marks collapsed) and
 immediate repetitions, hashed to fixed numbers. Weighted by tf-idf and projected on the leading singular
 vectors of the labelled texts, they become latent vectors. Every document is compared with all labelled
-vectors, block by block, by exact cosine; the ``k`` nearest vote with the weight of their similarity.
+vectors, block by block, by exact cosine in double precision; the ``k`` nearest vote with the weight of their similarity,
+ties (equal to ``DIGITS`` decimals) to the first of the sample, which is in order of ids.
 The labelled vectors are bounded by a parameter, so they go to every task.
 """
 
@@ -25,6 +26,7 @@ from .labelled import held_out, labelled_sample
 WORDS, SHAPES = 4096, 1023
 TERMS = WORDS + SHAPES + 1
 REPEAT = TERMS - 1
+DIGITS = 12  # cosines that agree in so many decimals are equal
 _RUNS = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"([^\w\s])\1{2,}"), lambda m: m[1] * 3)]
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -32,7 +34,7 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def shape(word: str) -> str:
     for pattern, to in _RUNS:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 class Terms:
@@ -76,9 +78,9 @@ class Neighbours:
     def latent(self, texts: pa.Array) -> np.ndarray:
         """Latent vectors of length 1; zeros for a text without words."""
         row, term, count = self.terms(texts)
-        out = np.zeros((len(texts), self.basis.shape[1]), np.float32)
+        out = np.zeros((len(texts), self.basis.shape[1]))
         if len(row):
-            weight = (np.sqrt(count) * self.idf[term]).astype(np.float32)
+            weight = np.sqrt(count) * self.idf[term]
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             for at in range(0, len(first), 256):  # a few documents at a time: their terms times the dimensions
                 a, z = first[at], first[at + 256] if at + 256 < len(first) else len(row)
@@ -93,11 +95,17 @@ class Neighbours:
         if not len(self.y):
             return out
         k = min(self.k, len(self.y))
-        for at in range(0, len(x), 512):
-            cosine = x[at : at + 512] @ self.vectors.T
-            best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, best, 1), 0).astype(float) ** self.power
-            out[at : at + 512] = (weight * self.y[best]).sum(1) / np.maximum(weight.sum(1), 1e-12)
+        for at in range(0, len(x), 256):
+            cosine = np.round(x[at : at + 256] @ self.vectors.T, DIGITS)
+            worst = np.partition(cosine, len(self.y) - k, axis=1)[:, len(self.y) - k, None]
+            sure = cosine > worst
+            # Of those as near as the k-th, the first of the sample fill the places that are left.
+            row, one = np.nonzero(cosine == worst)
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            fill = nth < (k - sure.sum(1))[row]
+            sure[row[fill], one[fill]] = True
+            weight = np.where(sure, np.maximum(cosine, 0), 0) ** self.power
+            out[at : at + 256] = (weight @ self.y) / np.maximum(weight.sum(1), 1e-12)
         return np.clip(out, 0, 1)
 
 
@@ -119,7 +127,7 @@ def train(sample: list[tuple[str, int]], dim: int = 64, k: int = 15, power: floa
         q = np.linalg.qr(a.T @ (a @ q))[0]
     _, _, turn = np.linalg.svd(a @ q, full_matrices=False)
     basis = (q @ turn.T).astype(np.float32)
-    out = Neighbours(idf, basis, np.zeros((0, dim), np.float32), y, k, power)
+    out = Neighbours(idf, basis, np.zeros((0, dim)), y, k, power)
     del a
     out.vectors = np.concatenate([out.latent(texts.slice(at, m)) for at, m in slices(texts)]) if len(texts) else out.vectors
     out.terms = Terms()

@@ -65,12 +65,14 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_lines(df: DataFrame, host_col: str, text_col: str, key: list[str], most: int, share: float, broadcast_rows: int = 500_000) -> DataFrame:
-    """(key..., _shared_words): words in lines that more documents of the host hold than its limit.
+    """(key..., _shared_words), key being an id and a hash of its text: words in lines that more documents of the host hold than its limit.
 
     The limit is ``most`` documents or ``share`` of the host's documents, if that is more.
-    Lines are compared in lower case with runs of ASCII marks and white space as one space; lines of marks alone
-    don't count. A document's copies of a line count once; its words count as often as the line stands there.
-    Counting combines hashes before the shuffle. Lines above the limit go to every task if
+    A document is one id; rows without an id are one document for each text. Lines are compared in lower case with
+    runs of ASCII marks and white space as one space; lines of marks alone don't count. A document's copies of a
+    line count once; its words count as often as the line stands there.
+    Rows are counted first, with hashes combined before the shuffle: only a line that more than ``most`` rows hold
+    can be above a limit, and the distinct documents of those few lines are counted after. Such lines go to every task if
     they are at most ``broadcast_rows``; beyond that, they are joined by a shuffle.
     """
 
@@ -82,14 +84,17 @@ def shared_lines(df: DataFrame, host_col: str, text_col: str, key: list[str], mo
     lines = F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(r"[^\p{Punct}\s]"))
     rows = df.where(F.col(text_col).isNotNull())
     once = rows.select(host, F.explode(F.array_distinct(F.transform(lines, hashed))).alias("_line"))
-    counts = once.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    hosts = df.groupBy(host).agg(F.count("*").alias("_docs"))
-    hot = counts.join(hosts, "_host").where(F.col("_n") > F.greatest(F.lit(float(most)), share * F.col("_docs")))
-    hot = stage(hot.select("_host", "_line"))
+    often = stage(once.groupBy("_host", "_line").agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select("_host", "_line"))
     every = rows.select(*key, host, F.posexplode(lines).alias("_at", "_text_line"))
     every = every.select(*key, "_host", "_at", hashed(F.col("_text_line")).alias("_line"), F.regexp_count("_text_line", F.lit(WORD)).alias("_w"))
-    hit = every.join(F.broadcast(hot) if hot.count() <= broadcast_rows else hot, ["_host", "_line"], "left_semi")
-    hit = hit.select(*key, "_at", "_w").distinct()  # rows may repeat
+    hit = every.join(F.broadcast(often) if often.count() <= broadcast_rows else often, ["_host", "_line"], "left_semi")
+    hit = stage(hit.groupBy(*key, "_host", "_line", "_at").agg(F.first("_w").alias("_w")))  # rows may repeat
+    document = [F.col(key[0]), F.when(F.col(key[0]).isNull(), F.col(key[1])).alias("_unnamed")]
+    counts = hit.select("_host", "_line", *document).distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    hosts = df.select(host, *document).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
+    hot = counts.join(hosts, "_host").where(F.col("_n") > F.greatest(F.lit(float(most)), share * F.col("_docs")))
+    hot = stage(hot.select("_host", "_line"))
+    hit = hit.join(F.broadcast(hot) if hot.count() <= broadcast_rows else hot, ["_host", "_line"], "left_semi")
     return hit.groupBy(*key).agg(F.sum("_w").alias("_shared_words"))
 
 
@@ -99,8 +104,8 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     base_failed: under 50 words, or over half of the words in repeated windows of three. A
     document is rejected too if less than ``left`` of its words stay when the lines go that over ``most``
     documents and over ``share`` of the host's documents hold. Null is a host like any other. Null and
-    empty texts have zeros and fail. Rows that repeat id and text get equal results, and each counts as a
-    document of its host. Other columns are not read. Empty in, empty out.
+    empty texts have zeros and fail. Rows that repeat id and text get equal results and count as one document.
+    Other columns are not read. Empty in, empty out.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     longs = [F.lit(0).cast("long").alias(m) for m in _MEASURES]
@@ -132,7 +137,7 @@ spoken AS (SELECT doc_id, source, line, i, len(regexp_extract_all(line, '[^\x20\
     trim(regexp_replace(lower(line), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\s\x0B]+', ' ', 'g')) AS norm
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM spoken) WHERE r > 1 GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
 freq AS (SELECT source, norm, count(DISTINCT doc_id) AS n FROM spoken WHERE norm <> '' GROUP BY source, norm),
 hot AS (SELECT f.source, f.norm FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > greatest(50, 0.002 * h.docs)),
 shared AS (SELECT s.doc_id, sum(s.n) AS n FROM spoken s JOIN hot h ON s.source IS NOT DISTINCT FROM h.source AND s.norm = h.norm GROUP BY s.doc_id),

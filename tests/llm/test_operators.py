@@ -234,11 +234,21 @@ def test_votes_by_brute_force():
     texts = pa.array([t for t, _ in sample[:20]] + ["", None], pa.string())
     x = m.latent(texts)
     for v, got in zip(x, m.vote(texts), strict=True):
-        c = m.vectors @ v
-        best = np.argsort(-c, kind="stable")[:5]
-        w = np.maximum(c[best], 0).astype(float) ** m.power
-        want = (w * m.y[best]).sum() / w.sum() if w.sum() else 0.0
-        assert got == pytest.approx(want, abs=0.3 if len(set(np.round(c, 6))) < len(c) else 1e-4)
+        c = np.array([round(float(sum(a * b for a, b in zip(u, v, strict=True))), 12) for u in m.vectors])
+        best = sorted(range(len(c)), key=lambda i: (-c[i], i))[:5]
+        w = [max(c[i], 0.0) ** m.power for i in best]
+        want = sum(a * m.y[i] for a, i in zip(w, best, strict=True)) / sum(w) if sum(w) else 0.0
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_vote_ties_go_to_the_first():
+    sample = [("ab cd", 1), ("ab cd", 0), ("ab cd", 0), ("zz yy", 1)]
+    assert quality_knn.train(sample, dim=3, k=2).vote(pa.array(["ab cd"]))[0] == pytest.approx(0.5)
+    assert quality_knn.train(sample, dim=3, k=1).vote(pa.array(["ab cd"]))[0] == pytest.approx(1.0)
+
+
+def test_long_shapes_stay_apart():
+    assert quality_knn.shape("a1" * 10) != quality_knn.shape("a1" * 10 + "%")
 
 
 # 6, 8 ------------------------------------------------------------------------------------------
@@ -259,6 +269,29 @@ def test_shared_lines(spark):
     assert other.where("shared_words > 0").count() == 0
 
 
+def test_repeated_rows_are_one_document(spark, tmp_path):
+    """One document sixty times is one; the SQL agrees on repeated rows."""
+    r = random.Random(7)
+    common = ["join our list today please and thank you all", "subscribe to the letter of the house now", "only two of us say this line here"]
+    rows = [(7, "\n".join([common[2], *(f"own{k} words{k} of{k} a{k} single{k} text{k}" for k in range(12))]), "h")] * 60
+    for i in range(100, 300):
+        body = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 999)) for _ in range(8)) for _ in range(6)]
+        rows += [(i, "\n".join([*body, *r.sample(common[:2], 1)]), r.choice(["h", "h", "h", "g"]))] * r.choice([1, 1, 3])
+    d = spark.createDataFrame(rows, DOCS)
+    got = quality_rules.apply_rules(d)
+    assert got.where("id = 7 and (shared_words > 0 or not kept)").count() == 0 and got.where("shared_words > 0").count() > 50
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    d.toPandas().to_parquet(tmp_path / "one.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT DISTINCT * FROM read_parquet('{tmp_path}/one.parquet')")
+    assert difference(quality_rules.op6_quality_rules(spark, str(tmp_path)).distinct(), con, quality_rules.OP6_SQL) == ""
+    unnamed = spark.createDataFrame([(None, f"{common[0]}\n{'x y z ' * k}", "h") for k in range(60)] + [(None, common[1], "h")] * 60, DOCS)
+    shared = quality_rules.apply_rules(unnamed)
+    assert shared.where("shared_words = 9").count() == 60 and shared.where("shared_words = 0").count() == 60
+
+
 def test_measures_by_brute_force():
     r = random.Random(6)
     for _ in range(200):
