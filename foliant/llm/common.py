@@ -10,17 +10,16 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from foliant.session import ensure_checkpoint_dir, map_arrow, shared_folder, spread, stage
 
-__all__ = ["WORD", "WS_CLASS", "Seen", "chunks", "ensure_checkpoint_dir", "fresh", "kept", "map_arrow", "map_texts", "read", "shared_folder", "slices", "stage", "string_hashes", "text_columns"]
+__all__ = ["WORD", "WS_CLASS", "Seen", "ensure_checkpoint_dir", "fresh", "kept", "map_arrow", "map_texts", "numbered", "read", "running", "shared_folder", "slices", "stage", "string_hashes", "text_columns"]
 
 #: A word is a longest run of characters outside these six (written for regex classes).
 WS_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS_CLASS}]+"
-#: Rows of texts in an Arrow batch: texts are long, and a worker holds a whole batch.
-TEXT_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,11 +36,11 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def map_texts(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``map_arrow`` over long rows: the session's Arrow batches get ``TEXT_ROWS`` rows at most from here on."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(name))
-    if now <= 0 or now > TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
+    """``map_arrow`` over long rows, a small scan dealt out first.
+
+    Spark ends an Arrow batch at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set otherwise, one longer row
+    is a batch), so long texts don't add up; functions work on ``slices`` of a batch.
+    """
     return map_arrow(spread(df), fn, schema)
 
 
@@ -50,6 +49,42 @@ def text_columns(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     return df.select(*keep, *([] if text_col in keep else [text_col]))
 
 
+def running(counts: DataFrame, at: str, n: str, out: str, group: int = 4096) -> DataFrame:
+    """``counts`` (one row for each whole number ``at`` from 0) with ``out``: the sum of ``n`` over smaller ``at``.
+
+    Sums run within groups of numbers and over the groups' totals, so that no task sorts all numbers.
+    """
+    part = F.floor(F.col(at) / group).alias("_g")
+    inside = Window.partitionBy("_g").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(part).agg(F.sum(n).alias("_t")).select("_g", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_o"))
+    each = counts.withColumn("_g", part).withColumn(out, F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return each.join(totals, "_g").withColumn(out, (F.col(out) + F.col("_o")).cast("long")).drop("_g", "_o")
+
+
+def numbered(rows: DataFrame, keys: DataFrame, key: str, out: str, salt_rows: int = 10_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """``rows`` with ``out``: 0 where ``key`` is there once, else 0, 1, 2 and so on over the rows of a key.
+
+    ``keys``: the key column of the same rows. Only rows of repeated keys move: those of one key are dealt into
+    salts of about ``salt_rows``, numbered within each and set off by the counts of the salts before, so a key of
+    any number of rows needs no task of its own. Rows of a key should be alike: which of them gets which number is left open.
+    """
+    often = stage(keys.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1"))
+    n = often.count()
+    if not n:
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    often = F.broadcast(often) if n <= broadcast_rows else often
+    many = rows.join(often, key).withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("_m") / salt_rows)).cast("long"))
+    many = stage(many)
+    sizes = many.groupBy(key, "_salt").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # a row for each salt_rows rows of a key
+    sizes = sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(F.lit(0))) - 1
+    many = many.withColumn(out, place).join(sizes, [key, "_salt"]).withColumn(out, (F.col(out) + F.col("_o")).cast("long"))
+    lone = rows.join(often, key, "left_anti").withColumn(out, F.lit(0).cast("long"))
+    return lone.unionByName(many.select(*lone.columns))
+
+
 _KEPT: dict[Hashable, Any] = {}
 
 
@@ -70,18 +105,6 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
-def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """(first position, run of texts) with about ``most`` characters or one text in each run."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > most:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t or "") + 1
-    if texts:
-        yield at, texts[at:]
-
-
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """(first position, number) of runs of texts with about ``most`` bytes or one text each."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)

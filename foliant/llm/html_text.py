@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, kept, map_texts, read
+from .common import kept, map_texts, read, slices
 from .html_blocks import Contexts, blocks, labelled_page, text_features
 
 
@@ -175,7 +175,8 @@ def _extracted(model: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(key, lambda: model)
         for b in batches:
-            texts = [t for _, part in chunks(b.column(b.num_columns - 1).to_pylist()) for t in own.texts(part)]
+            pages = b.column(b.num_columns - 1)
+            texts = [t for at, n in slices(pages, 1 << 20) for t in own.texts(pages.slice(at, n).to_pylist())]
             columns = [*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-1], "_text", "_n"])
 

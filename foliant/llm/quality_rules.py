@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, map_texts, read, stage
+from .common import WORD, map_texts, read, slices, stage
 
 _SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -59,7 +59,8 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [measures(t) for t in b.column(b.num_columns - 1).to_pylist()]
+        text = b.column(b.num_columns - 1)
+        rows = [measures(t) for at, n in slices(text) for t in text.slice(at, n).to_pylist()]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], *_MEASURES])
 

@@ -6,17 +6,20 @@ hash. Pass 2 lays each bucket out in hash order and shuffles it by Fisher and Ya
 equal counts (law ``rows``).
 
 The bucket counts come from a pass over ids and hashes alone and give each bucket its first
-position, so no task sees more than one bucket and nothing is sorted as a whole.
+position, so no task sees more than one bucket and nothing is sorted as a whole. Rows that repeat
+id and text are numbered first, so that they scatter like any others. Buckets lie in a number of partitions that follows from
+the records' bytes alone, in order, which fixes the shuffle's random numbers: the session's partitioning has no part in the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import numbered, read, running, stage
 
 BUCKET_BYTES = 16 << 20
+MOST_PARTITIONS = 1 << 15
 
 
 def shard_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -24,26 +27,28 @@ def shard_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 8. Shards differ by one row at
     most; slots have no gaps from 0. With fewer rows than shards, some shards stay empty. Null ids and texts are
-    records like any other. Rows that repeat id and text share a bucket and are dealt
-    apart by the shuffle. Columns with the five names are replaced. Empty in, empty out.
+    records like any other. Rows that repeat id and text, any number of them, are spread over all buckets; which of
+    them has which of their places is open. Else the order depends on seed, ids, texts and
+    ``bucket_bytes`` alone. Columns with the five names are replaced. Empty in, empty out.
     """
     own = ["size", "text_crc32", "law", "shard", "slot"]
     keep = [c for c in df.columns if c.lower() not in own]
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    known = df.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    known = known.withColumn("_h", F.xxhash64(F.lit(seed), "id", "text_crc32", "size"))
-
-    total = known.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    known = df.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(F.lit(seed), id_col, data).alias("_k"))
+    light = stage(known.select("_k", "size"))
+    total = light.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
-    bucket = F.pmod(F.col("_h"), F.lit(buckets)).cast("long")
-    counts = known.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = stage(counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")))
+    bucket = F.pmod(F.xxhash64("_k", "_j"), F.lit(buckets)).cast("long").alias("_bucket")
+    # Ids and hashes are enough to count; both passes number alike rows from 0 on.
+    counts = numbered(light, light.select("_k"), "_k", "_j").groupBy(bucket).agg(F.count("*").alias("_n"))
+    first = stage(running(counts, "_bucket", "_n", "_first").drop("_n"))
 
-    record = F.struct(F.xxhash64(F.lit("order"), "_h").alias("h"), "id", "row", "size", "text_crc32")
-    filled = known.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.collect_list(record).alias("_records"))
-    # The shuffle's generator runs on through a partition: buckets come in one fixed order, from a total order of records.
-    fixed = F.expr("array_sort(_records, (a, b) -> case when a.h < b.h then -1 when a.h > b.h then 1 when a.id < b.id then -1 when a.id > b.id then 1 else 0 end)")
+    record = F.struct(F.xxhash64(F.lit("order"), "_k", "_j").alias("h"), "id", "_j", "row", "size", "text_crc32")
+    scattered = numbered(known, light.select("_k"), "_k", "_j").select(bucket, record.alias("_r")).repartition(min(buckets, MOST_PARTITIONS), "_bucket")
+    filled = scattered.groupBy("_bucket").agg(F.collect_list("_r").alias("_records"))
+    total_order = " ".join(f"when a.{c} < b.{c} then -1 when a.{c} > b.{c} then 1" for c in ("h", "id", "_j"))
+    fixed = F.expr(f"array_sort(_records, (a, b) -> case {total_order} else 0 end)")
+    # The shuffle's generator runs on through a partition: its buckets come in order.
     filled = filled.select("_bucket", fixed.alias("_records")).sortWithinPartitions("_bucket")
     dealt = filled.select("_bucket", F.expr(f"shuffle(_records, {seed}L)").alias("_records"))
     dealt = dealt.select("_bucket", F.posexplode("_records").alias("_at", "_r"))

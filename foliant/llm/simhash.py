@@ -64,7 +64,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def _fingerprints(shingle: int, field: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
+            texts = (t for at, n in slices(b.column(1)) for t in b.column(1).slice(at, n).to_pylist())
+            out = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64), pa.int64())], ["id", "fp"])
 
     return run

@@ -132,6 +132,44 @@ def test_sharding(docs, plain):
     assert [r["text"] for r in got if r["doc_id"] == 7] == [plain[7]]
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_order_does_not_depend_on_partitions(spark, docs, buckets):
+    """The order is that of the buckets, each shuffled by itself: equal at any partitioning, a permutation of its bucket."""
+    d = docs.unionByName(docs.where("doc_id % 10 = 3")).unionByName(docs.where("doc_id % 10 = 3"))
+    size = d.selectExpr("sum(octet_length(coalesce(text, '')) + 8)").first()[0]
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = sharding.shard_records(d.repartition(n), bucket_bytes=-(-size // buckets)).select("doc_id", "shard", "slot").collect()
+            seen.append(sorted((r["shard"], r["slot"], r["doc_id"]) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) == d.count()
+    assert sorted(i for _, _, i in seen[0]) == sorted(r[0] for r in d.select("doc_id").collect())
+    again = [i for _, _, i in sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard_records(d, seed=43, bucket_bytes=-(-size // buckets)).collect())]
+    assert sum(a == b for a, (_, _, b) in zip(again, seen[0], strict=True)) < 30
+
+
+def test_buckets_by_brute_force(spark, docs, plain):
+    """Each bucket holds the rows of one residue of the hash; the buckets follow one another in the global order."""
+    keys = docs.select("doc_id", F.xxhash64(F.lit(42), "doc_id", F.col("text").cast("binary")).alias("k"))
+    size = sum(len(t.encode()) + 8 for t in plain.values())
+    b = {r[0]: r[1] for r in keys.select("doc_id", F.pmod(F.xxhash64("k", F.lit(0).cast("long")), F.lit(5)).alias("b")).collect()}
+    got = sharding.shard_records(docs, bucket_bytes=-(-size // 5)).collect()
+    order = [b[r["doc_id"]] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order) and set(order) == set(range(5))
+
+
+def test_a_hundred_thousand_repeats(spark):
+    d = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same words").alias("text"), F.lit("s").alias("source")).unionByName(spark.createDataFrame([(2, "b", "s"), (None, None, "s"), (None, None, "s")], DOCS))
+    got = sharding.shard_records(d, bucket_bytes=100_000).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("u"), F.max("slot").alias("m")).collect()
+    assert len(got) == 24 and all(r["n"] == r["u"] == r["m"] + 1 for r in got) and sum(r["n"] for r in got) == 100_003
+    mixed = mixing.mix_sources(d.withColumn("source", (F.xxhash64(F.rand(3)) % 2 == 0).cast("string")))
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect():
+        assert abs(r["t"] - r["w"]) <= 2
+
+
 def test_sharding_odd(spark, tmp_path):
     d = odd(spark).withColumns({"slot": F.lit("clash"), "_h": F.lit("x"), "Row": F.lit("y"), "_bucket": F.lit(1)})
     assert {(r["_h"], r["Row"], r["_bucket"]) for r in sharding.shard_records(d).collect()} == {("x", "y", 1)}
