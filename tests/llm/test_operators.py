@@ -484,6 +484,68 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(d.repartition(5)).collect()))
 
 
+def slow_copies(sizes, target, most=3):
+    """Expected copies by bisection for the level."""
+    w = {n: mixing.TILT + n.bit_length() for n in sizes}
+    lo, hi = 0.0, float(most)
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(min(most, c * w[n]) * n for n in sizes) < target else (lo, c)
+    return {n: min(most, lo * w[n]) for n in sizes}
+
+
+def test_mixing_by_brute_force(spark):
+    """Every document's copies by plain Python: certain ones, and Pareto's order for the rest."""
+    import hashlib
+
+    r = random.Random(12)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 3, 20, 50, 400, 1500])), r.choices(["a", "b", "c", "d"], [6, 4, 1, 9])[0]) for i in range(1500)]
+    got = {x["doc_id"]: x["copies"] for x in mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()}
+    size = {i: len(words(t)) for i, t, _ in rows}
+    totals = {s: sum(size[i] for i, _, x in rows if x == s) for s in "abcd"}
+    targets = slow_targets(totals)
+    for s in "abcd":
+        docs = [(i, t) for i, t, x in rows if x == s and size[i]]
+        want = slow_copies([size[i] for i, _ in docs], targets[s])
+        base = {i: int(want[size[i]] + 1e-9) for i, _ in docs}
+        rest = targets[s] - sum(base[i] * size[i] for i, _ in docs)
+
+        def rank(d):
+            u = int(hashlib.md5(f"42|{d[0]}|{hashlib.md5(d[1].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
+            p = want[size[d[0]]] - base[d[0]]
+            return (u / (1 - u)) / (p / (1 - p))
+
+        upto = 0
+        for d in sorted((d for d in docs if want[size[d[0]]] - base[d[0]] > 1e-7), key=rank):
+            upto += size[d[0]]
+            base[d[0]] += upto - size[d[0]] / 2 <= rest
+        assert all(got[i] == n for i, n in base.items())
+    assert all(got[i] == 0 for i, n in size.items() if not n)
+
+
+def test_inclusion_rates(spark):
+    """Over many seeds, a document is taken about as often as its expected copies say, which differ from length to length."""
+    r = random.Random(13)
+    rows = [(i, " ".join(["w"] * r.choice([2, 30, 500])), r.choice(["a", "b", "b"])) for i in range(400)]
+    d = spark.createDataFrame(rows, DOCS).coalesce(1).cache()
+    size = {i: len(words(t)) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    seeds, seen = 24, {}
+    for seed in range(seeds):
+        for x in mixing.mix_sources(d, seed=seed).collect():
+            seen[x["doc_id"]] = seen.get(x["doc_id"], 0) + x["copies"]
+    totals = {s: sum(n for i, n in size.items() if source[i] == s) for s in "ab"}
+    targets = slow_targets(totals)
+    spread = set()
+    for s in "ab":
+        want = slow_copies([n for i, n in size.items() if source[i] == s], targets[s])
+        for n in (2, 30, 500):
+            docs = [i for i in size if source[i] == s and size[i] == n]
+            assert abs(sum(seen[i] for i in docs) / len(docs) / seeds - want[n]) < 0.06
+            spread.add(round(want[n] % 1, 3))
+    assert len(spread) >= 3
+
+
 def test_mixing_odd(spark):
     d = odd(spark).withColumns({"SIZE": F.lit("clash"), "_key": F.lit("x"), "_source": F.lit("y"), "_rank": F.lit(1)})
     assert {(r["_key"], r["_source"], r["_rank"]) for r in mixing.mix_sources(d).collect()} == {("x", "y", 1)}
