@@ -1,12 +1,14 @@
-"""Near copies by exact similarity: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+"""SimHash near-dedup at a similarity: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-SimHash bits can't say it: at five words and 0.8 two texts differ in some ten of 64 bits, and more as often as not.
-Here texts meet in bands of minimum hashes (30 bands of three; a pair of similarity 0.8 misses all of
-them once in two thousand million), and each pair is then decided by its shingles themselves.
+One fingerprint can't say it: at five words and 0.8 two texts differ in some ten of 64 bits, give or take three. So a text has
+``WORDS`` fingerprints by independent hashes, the tries of ``simhash`` join them within a wide error budget, and the texts so
+linked are candidates, which are decided by their shingles themselves. A pair of similarity
+0.8 shares a block of bits with a chance of 0.15 to 0.07 a trie and misses all tries less than once in a thousand times;
+at 0.9 once in some ten million.
 
-Texts of one set are one node. Inside a bucket, nodes are first compared with one representative, another one in
-each round, and at last every node with all nodes of the bucket that aren't in its component yet. So a dense group
-never makes all its pairs, and no pair of a bucket is left undecided but those whose answer can't change a component.
+Texts of one set are one node. Inside a group of candidates, nodes are first compared with one representative, another one in
+each round, and at last every node with all nodes of the group that aren't in its component yet. So a dense group
+never makes all its pairs, and no pair of a group is left undecided but those whose answer can't change a component.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
 
-from .common import fresh, map_texts, stage
+from .common import fresh, map_texts, slices, stage
+from .simhash import sketch_links
 
-SEED, BANDS, DEEP, ROUNDS = 42, 30, 3, 3
+SEED, WORDS, ROUNDS = 42, 24, 3
 _RNG = np.random.default_rng(SEED)
-_XOR = _RNG.integers(0, 1 << 64, BANDS * DEEP, np.uint64)
-_ODD = _RNG.integers(0, 1 << 64, BANDS * DEEP, np.uint64) | np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 64, WORDS, np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
+#: Of each byte, its bits in eight lanes of a byte: sums of up to 255 of them count eight bits at once.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def shingles(text: str | None, size: int = 5) -> set[bytes]:
@@ -35,32 +40,36 @@ def shingles(text: str | None, size: int = 5) -> set[bytes]:
     return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def _band_keys(h: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 4096):
-        np.minimum(least, ((h[None, at : at + 4096] ^ _XOR[:, None]) * _ODD[:, None]).min(1), out=least)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for part in least.reshape(BANDS, DEEP).T:
-        key = (key ^ part) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def sketch(h: np.ndarray) -> np.ndarray:
+    """``WORDS`` SimHash fingerprints of a set of 64-bit hashes: a bit is 1 if set in over half of the set."""
+    counts = np.zeros(WORDS * 64, np.int64)
+    for at in range(0, len(h), 255):
+        x = (h[at : at + 255, None] ^ _XOR) * _ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+        counts += _LANES[x.view(np.uint8)].sum(0).view(np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
 
 
 def _nodes(size: int, field: pa.DataType):
-    """(id, th, text) -> (id, th, node, n, bands): ``node`` is a hash of the whole set, ``n`` its size."""
+    """(id, th, text) -> (id, th, node, n, words): ``node`` is a hash of the whole set, ``n`` its size."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh64_intdigest
         for b in batches:
-            node, n, bands = [], [], []
-            for t in b.column(2):
-                own = shingles(t.as_py(), size)
-                h = np.sort(np.fromiter((hashed(s, SEED) for s in own), np.uint64, len(own)))
-                node.append(hashed(h.tobytes(), SEED))
-                n.append(len(own))
-                bands.append(_band_keys(h) if len(own) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "node", "n", "bands"])
+            node, n, words = [], [], []
+            for at, m in slices(b.column(2)):
+                for t in b.column(2).slice(at, m):
+                    own = shingles(t.as_py(), size)
+                    h = np.sort(np.fromiter((hashed(s, SEED) for s in own), np.uint64, len(own)))
+                    node.append(hashed(h.tobytes(), SEED))
+                    n.append(len(own))
+                    words.append(sketch(h))
+            flat = pa.array(np.concatenate(words).view(np.int64)) if words else pa.array([], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WORDS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], ["id", "th", "node", "n", "words"])
 
     return run
 
@@ -83,7 +92,7 @@ def _alike(size: int, similarity: float):
 
 
 def _links(pool: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame | None:
-    """``pool`` (bucket, node, n), ``texts`` (node, text) -> (node, root) of the nodes that are similar to another."""
+    """``pool`` (bucket: the group of candidates, node, n), ``texts`` (node, text) -> (node, root) of the nodes that are similar to another."""
     links = tested = roots = None
     for turn in range(ROUNDS + 1):
         if roots is None:
@@ -110,8 +119,13 @@ def _links(pool: DataFrame, texts: DataFrame, size: int, similarity: float) -> D
     return roots
 
 
+def _whole(roots: DataFrame) -> DataFrame:
+    """(node, root) with a row for each root too."""
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of ``df``: (id, th, component_id), the smallest id of its component.
+    """One row for each row of ``df``: (id, th, group, component_id), a name of its component and the smallest id in it.
 
     ``th`` is xxhash64 of the text. Null and wordless texts have one empty set and are copies of each other. Null ids
     never become a component_id unless no id is there. Other columns are not read. Empty in, empty out.
@@ -120,36 +134,38 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     slim = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType
-    prints = stage(map_texts(slim, _nodes(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, th long, node long, n long, bands array<long>"))
-    first = prints.groupBy("node").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    prints = stage(map_texts(slim, _nodes(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, th long, node long, n long, words array<long>"))
+    first = prints.groupBy("node").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.first("words").alias("words"))
     first = stage(first)
-    buckets = first.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").count().where("count > 1")
-    pool = stage(buckets.join(shared, "bucket", "left_semi").select("bucket", "node", "n"))
+    groups = _whole(connected_components(sketch_links(first.where("n > 0").select("node", "words"), WORDS)))
+    pool = stage(first.select("node", "n").join(groups, "node").select(F.col("root").alias("bucket"), "node", "n"))
     roots = None
     if not pool.isEmpty():
         wanted = first.join(pool.select("node").distinct(), "node", "left_semi").select("th", "node")
         texts = stage(slim.select("th", "text").join(wanted, "th").groupBy("node").agg(F.min("text").alias("text")))
         roots = _links(pool, texts, shingle, similarity)
-    member = first.select("node", "first", F.col("node").alias("group"))
+    member = first.select("node", F.col("node").alias("group"), F.col("first").alias("component_id"))
     if roots is not None:
-        member = first.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("group"))
-    least = member.groupBy("group").agg(F.min("first").alias("component_id"))
-    member = member.join(least, "group").select("node", "component_id")
-    return prints.select("id", "th", "node").join(member, "node").select("id", "th", "component_id")
+        # Only nodes that are alike others have a group; the nodes of one are few beside its rows.
+        linked = first.select("node", "first").join(_whole(roots), "node")
+        least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+        least = stage(linked.select("node", "root").join(F.broadcast(least) if least.count() <= 1_000_000 else least, "root").select("node", F.col("root").alias("_root"), F.col("component_id").alias("_least")))
+        member = member.join(least, "node", "left").select("node", F.coalesce("_root", "group").alias("group"), F.when(F.col("_root").isNotNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.select("id", "th", "node").join(member, "node").select("id", "th", "group", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df`` with one of each group of near copies: that of the smallest id.
 
     All columns stay. Rows without an id can't be named: they stay, unless their
-    group has a row with an id. Repeated rows of one id leave one.
+    group has a row with an id. Rows that repeat id and text leave one; rows of one id with different texts
+    stand each for itself, and the smallest hash of the text stays in a group.
     """
     found = near_copies(df, id_col, text_col, **how)
-    out = found.where("id is not null and id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    named = df.where(F.col(id_col).isNotNull())
-    kept = named.join(out, named[id_col] == out["_gone"], "left_anti").dropDuplicates([id_col])
     th = fresh(df, "_th")
+    named = df.where(F.col(id_col).isNotNull()).withColumn(th, F.xxhash64(F.col(text_col))).dropDuplicates([id_col, th])
+    stay = found.where("id = component_id").groupBy(F.col("id").alias(id_col), "group").agg(F.min("th").alias(th)).drop("group")
+    kept = named.join(stay, [id_col, th], "left_semi").drop(th)
     lone = found.where("id is null and component_id is null").select(F.col("th").alias(th)).distinct()
     unnamed = df.where(F.col(id_col).isNull()).withColumn(th, F.xxhash64(F.col(text_col))).join(lone, th, "left_semi").drop(th)
     return kept.unionByName(unnamed)

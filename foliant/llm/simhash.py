@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
 
-from .common import fresh, map_arrow, map_texts, read, stage
+from .common import map_arrow, map_texts, read, slices, stage
 
 BITS = 64
 SEED = 42
@@ -71,11 +71,6 @@ def _fingerprints(shingle: int, field: pa.DataType):
     return run
 
 
-def _rotl(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    k = k.astype(np.uint64)
-    return (x << k) | (x >> ((np.uint64(BITS) - k) % np.uint64(BITS)))
-
-
 def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """``label`` (each index's smallest known companion) after linking i to j."""
     while True:
@@ -92,9 +87,12 @@ def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = further
 
 
-def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int, most: int = 1 << 20) -> np.ndarray:
+def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int, more: np.ndarray | None = None, budget: int = 0, most: int = 1 << 20) -> np.ndarray:
     """Labels of a spanning forest of all links inside each root range.
 
+    With ``more`` bits, another word for each value, two values link if they differ in ``radius`` bits at most and in
+    ``budget`` bits of both words together.
+
     ``value``: uint64, ascending and distinct inside each range [start, end), a
     trie in itself: a node of depth d is the run of values with one d-bit prefix.
     Node pairs advance level by level; at most about ``most`` pairs are held at a
@@ -110,7 +108,7 @@ def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: i
                 stack.append((depth, a0[cut], a1[cut], b0[cut], b1[cut], err[cut]))
             continue
         small = (a1 - a0) * (b1 - b0) <= (64 if depth < 60 else 256)
-        label = _leaf_links(value, label, a0[small], a1[small], b0[small], b1[small], radius, most)
+        label = _leaf_links(value, label, a0[small], a1[small], b0[small], b1[small], radius, more, budget, most)
         a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
@@ -130,7 +128,7 @@ def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: i
     return label
 
 
-def _leaf_links(value, label, a0, a1, b0, b1, radius: int, most: int) -> np.ndarray:
+def _leaf_links(value, label, a0, a1, b0, b1, radius: int, more, budget: int, most: int) -> np.ndarray:
     pairs = (a1 - a0) * (b1 - b0)
     whole = np.cumsum(pairs)
     at = 0
@@ -141,84 +139,136 @@ def _leaf_links(value, label, a0, a1, b0, b1, radius: int, most: int) -> np.ndar
         k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         wide = (b1 - b0)[which]
         i, j = a0[which] + k // wide, b0[which] + k % wide
-        near = (i < j) & (np.bitwise_count(value[i] ^ value[j]) <= radius)
+        apart = np.bitwise_count(value[i] ^ value[j])
+        near = (i < j) & (apart <= radius)
+        if more is not None:
+            near &= apart + np.bitwise_count(more[i] ^ more[j]) <= budget
         label = _united(label, i[near], j[near])
         at = to
     return label
 
 
-def _forest(radius: int, rows: int):
-    """Tasks' rows (task key, rotation, rotated fingerprint), in order of the key -> edges of fingerprints."""
+def _forest(radius: int, rows: int, budget: int = 0):
+    """Tasks' rows (task key, rotated fingerprint, node, perhaps another word), in order of the key -> edges of nodes."""
 
-    def edges(key: np.ndarray, turn: np.ndarray, rot: np.ndarray) -> pa.RecordBatch:
+    def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, rot = t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64)
+        more = t.column(3).to_numpy().view(np.uint64) if t.num_columns > 3 else None
         order = np.lexsort((rot, key))
-        key, turn, rot = key[order], turn[order], rot[order]
-        fresh = np.ones(len(key), bool)  # a leaf in both chunks of a pair comes twice
-        fresh[1:] = (key[1:] != key[:-1]) | (rot[1:] != rot[:-1])
-        key, turn, rot = key[fresh], turn[fresh], rot[fresh]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[order][1:] != key[order][:-1]) | (rot[order][1:] != rot[order][:-1])
+        # Equal leaves of a subtrie are linked to their first, which alone goes on.
+        first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        twins, firsts = order[~fresh], first[~fresh]
+        order = order[fresh]
+        key, rot = key[order], rot[order]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        label = trie_forest(rot, cut, np.append(cut[1:], len(key)), radius)
+        label = trie_forest(rot, cut, np.append(cut[1:], len(key)), radius, None if more is None else more[order], budget)
         linked = np.flatnonzero(label != np.arange(len(label)))
-        plain = _rotl(rot, (BITS - turn) % BITS).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(plain[linked]), pa.array(plain[label[linked]])], ["u", "v"])
+        node = t.column(2).combine_chunks()
+        node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
+        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate([order[linked], twins]))), node.take(pa.array(np.concatenate([order[label[linked]], firsts])))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)))
-            if sum(len(x[0]) for x in held) >= rows:
-                key, turn, rot = (np.concatenate(x) for x in zip(*held, strict=True))
-                done = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-                if done:
-                    yield edges(key[:done], turn[:done], rot[:done])
-                held = [(key[done:], turn[done:], rot[done:])]
+            held.append(b)
+            if sum(x.num_rows for x in held) >= rows:
+                last = b.column(0)[-1].as_py()
+                done = int(np.searchsorted(b.column(0).to_numpy(), last))  # in order of the key
+                if done or held[0].column(0)[0].as_py() != last:
+                    sure = [x if x is not b else b.slice(0, done) for x in held]
+                    open_ = [x.slice(int(np.searchsorted(x.column(0).to_numpy(), last))) for x in sure] + [b.slice(done)]
+                    sure = [x.slice(0, int(np.searchsorted(x.column(0).to_numpy(), last))) for x in sure]
+                    yield edges(sure)
+                    held = [x for x in open_ if x.num_rows]
         if held:
-            key, turn, rot = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield edges(key, turn, rot)
+            yield edges(held)
 
     return run
 
 
+def _turned(word: Column, turn: int) -> Column:
+    return F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, BITS - turn)) if turn else word
+
+
+def _tops(word: Column, sizes: list[int], base: int) -> list[Column]:
+    """One struct (rot, top) for each block of bits of a word: the word with that block on top, and the block with a number of its own."""
+    out, turn = [], 0
+    for size in sizes:
+        rot = _turned(word, turn)
+        out.append(F.struct(rot.alias("rot"), (F.shiftrightunsigned(rot, BITS - size) + F.lit(base)).alias("top")))
+        turn, base = turn + size, base + (1 << size)
+    return out
+
+
+def _joined(leaves: DataFrame, radius: int, subtrie_rows: int, budget: int = 0) -> DataFrame:
+    """``leaves`` (rot, top, node, perhaps more) -> (u, v): a spanning forest of the links of each subtrie.
+
+    A subtrie above ``subtrie_rows`` leaves is dealt into chunks, and each pair of chunks is a task's unit.
+    """
+    # A top block with too many leaves is one of a few: there are at most leaves / subtrie_rows.
+    hot = leaves.groupBy("top").count().where(F.col("count") > subtrie_rows)
+    hot = stage(hot.select("top", F.ceil(F.col("count") / subtrie_rows).cast("long").alias("chunks")))
+    if hot.isEmpty():
+        tasks = leaves.withColumn("key", F.col("top"))
+    else:
+        leaves = leaves.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "top", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        mine = F.pmod(F.xxhash64("rot", "node"), F.col("chunks"))
+        partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        tasks = leaves.withColumn("mine", mine).withColumn("other", partner)
+        pair = F.xxhash64("top", F.least("mine", "other"), F.greatest("mine", "other"))
+        tasks = tasks.withColumn("key", F.when(F.col("chunks") == 1, F.col("top")).otherwise(pair))
+    tasks = tasks.select("key", "rot", "node", *["more"] * bool(budget)).repartition("key").sortWithinPartitions("key")
+    kind = leaves.schema["node"].dataType.simpleString()
+    return map_arrow(tasks, _forest(radius, max(subtrie_rows, 1), budget), f"u {kind}, v {kind}")
+
+
 def fingerprint_links(prints: DataFrame, radius: int = 4, subtrie_rows: int = 200_000) -> DataFrame:
-    """``prints`` (fp: distinct longs) -> (u, v): edges whose components are those of all links."""
+    """``prints`` (fp: distinct longs, node: any name of it) -> (u, v): edges of nodes whose components are those of all links."""
     blocks = radius + 1
     sizes = [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
-    turns = [sum(sizes[:i]) for i in range(blocks)]
-    roots = sum(1 << s for s in sizes)
-    base = [sum(1 << s for s in sizes[:i]) for i in range(blocks)]
-    tops = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("turn"),
-                (F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", BITS - t)) if t else F.col("fp")).alias("rot"),
-                (
-                    F.shiftrightunsigned(F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", BITS - t)) if t else F.col("fp"), BITS - s) + F.lit(b)
-                ).alias("top"),
-            )
-            for t, s, b in zip(turns, sizes, base, strict=True)
-        ]
-    )
-    leaves = prints.select(F.explode(tops).alias("x")).select("x.*")
-    # One row for each top block that holds too many leaves: `roots` rows at most, whatever the corpus.
-    hot = leaves.groupBy("top").count().where(F.col("count") > subtrie_rows)
-    hot = hot.select("top", F.ceil(F.col("count") / subtrie_rows).cast("long").alias("chunks"))
-    leaves = leaves.join(F.broadcast(hot.limit(roots)), "top", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("rot"), F.col("chunks"))
-    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    tasks = leaves.withColumn("mine", mine).withColumn("other", partner)
-    pair = F.xxhash64("top", F.least("mine", "other"), F.greatest("mine", "other"))
-    tasks = tasks.select(F.when(F.col("chunks") == 1, F.col("top")).otherwise(pair).alias("key"), "turn", "rot")
-    tasks = tasks.repartition("key").sortWithinPartitions("key")
-    return map_arrow(tasks, _forest(radius, max(subtrie_rows, 1)), "u long, v long")
+    leaves = prints.select("node", F.explode(F.array(*_tops(F.col("fp"), sizes, 0))).alias("x")).select("x.*", "node")
+    return _joined(leaves, radius, subtrie_rows)
+
+
+def sketch_links(sketches: DataFrame, words: int, block: int = 16, radius: int = 20, budget: int = 34, subtrie_rows: int = 200_000) -> DataFrame:
+    """``sketches`` (node, words: that many fingerprints by independent hashes) -> (u, v): links of a wider radius.
+
+    Wide radii leave no block equal for sure, so each word is built into tries with each of its whole blocks of ``block`` bits on
+    top, and a pair is found if any block agrees; it links if the word differs in ``radius`` bits at
+    most and in ``budget`` bits together with the next word.
+    """
+    sizes = [block] * (BITS // block)
+    each = sketches.select("node", "words", F.posexplode("words").alias("i", "word"))
+    each = each.select("node", "i", "word", F.element_at("words", (F.col("i") + 1) % words + 1).alias("more"))
+    leaves = each.select("node", "i", "more", F.explode(F.array(*_tops(F.col("word"), sizes, 0))).alias("x"))
+    leaves = leaves.select("x.rot", (F.col("x.top") + F.col("i") * (len(sizes) << block)).alias("top"), "more", "node")
+    return _joined(leaves, radius, subtrie_rows, budget)
+
+
+def _component_ids(first: DataFrame, links: DataFrame) -> DataFrame:
+    """``first`` (fp, first: the smallest id or null), ``links`` of its nodes -> (fp, component_id).
+
+    Nodes are named by their smallest ids, those without an id last, so a component's root carries
+    its id and no rows of a component meet.
+    """
+    roots = connected_components(links)
+    roots = roots.select(F.col("node.fp").alias("fp"), F.col("root.first").alias("_least"), F.lit(True).alias("_linked"))
+    return first.join(roots, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("first")).alias("component_id"))
+
+
+def _node():
+    return F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("node")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, subtrie_rows: int = 200_000) -> DataFrame:
-    """One row for each row of ``df``: (id, fp, group, component_id).
+    """One row for each row of ``df``: (id, fp, component_id).
 
-    ``fp``: the signed 64-bit fingerprint; ``group``: the smallest fingerprint of
-    its component (never null); ``component_id``: the smallest id in it. Null and
+    ``fp``: the signed 64-bit fingerprint; ``component_id``: the smallest id of its component. Null and
     wordless texts have fingerprint 0 and link like any other. Null ids are kept and
     never become a component_id unless no id is there. Repeated rows come out as
     often as they went in. Other columns are not read. Empty in, empty out.
@@ -229,29 +279,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = slim.schema["id"].dataType
     prints = stage(map_texts(slim, _fingerprints(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, fp long"))
     first = stage(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(fingerprint_links(first.select("fp"), radius, subtrie_rows))
-    member = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("group"))
-    least = member.groupBy("group").agg(F.min("first").alias("component_id"))
-    member = member.join(least, "group").select("fp", "group", "component_id")
-    return prints.join(member, "fp").select("id", "fp", "group", "component_id")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` with one of each group: that of the smallest id.
-
-    All columns stay. Rows without an id can't be named: they stay, unless their
-    group has a row with an id. Repeated rows of one id leave one.
-    """
-    found = near_duplicates(df, id_col, text_col, **how)
-    out = found.where("id is not null and id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    named = df.where(F.col(id_col).isNotNull())
-    kept = named.join(out, named[id_col] == out["_gone"], "left_anti").dropDuplicates([id_col])
-    unnamed = df.where(F.col(id_col).isNull())
-    lone = found.where("id is null and component_id is null").select("fp").distinct()
-    own = F.udf(lambda t: int(np.array(fingerprint(t, how.get("shingle", 4)), np.uint64).view(np.int64)), "long")
-    fp = fresh(df, "_fp")
-    unnamed = unnamed.withColumn(fp, own(F.col(text_col))).join(lone.withColumnRenamed("fp", fp), fp, "left_semi").drop(fp)
-    return kept.unionByName(unnamed)
+    member = _component_ids(first, fingerprint_links(first.select("fp", _node()), radius, subtrie_rows))
+    return prints.join(member, "fp").select("id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,48 @@ def test_stage_keeps_one_of_each_group(spark, texts):
     assert {r["id"]: r["component_id"] for r in found.collect()} == want
 
 
+def test_sketch_by_brute_force():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 64, 700, np.uint64)
+    with np.errstate(over="ignore"):
+        x = (h[:, None] ^ near_copies._XOR) * near_copies._ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in column) > len(h)) for column in x.T]
+    assert [int(v) for v in near_copies.sketch(h)] == want
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.81, each of 70 to 500 shingles: all but a few in a thousand meet."""
+    rng, out = random.Random(9), {}
+    for pair in range(300):
+        n = rng.choice([70, 140, 500])
+        base = [f"p{pair}w{k}" for k in range(n + 4)]
+        other = list(base)
+        gone, k = 0, 0
+        while True:  # each changed word takes five shingles
+            k += 12
+            x, y = near_copies.shingles(" ".join(base)), near_copies.shingles(" ".join([*other[: k % len(other)], "new", *other[k % len(other) + 1 :]]))
+            if len(x & y) < 0.8 * len(x | y) or k >= len(other):
+                break
+            other[k % len(other)] = f"new{pair}x{gone}"
+            gone += 1
+        out[2 * pair], out[2 * pair + 1] = " ".join(base), " ".join(other)
+    docs = spark.createDataFrame(list(out.items()), "doc_id long, text string")
+    sets = {i: near_copies.shingles(t) for i, t in out.items()}
+    want = sum(5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1]) for i in range(0, len(out), 2))
+    got = near_copies.near_copies(docs).where("id <> component_id").count()
+    assert want > 250 and want - got <= 2
+
+
+def test_ids_with_several_texts(spark):
+    rows = [(5, "one text of its own here now", "x"), (5, "another text that is quite different from it", "y"), (5, "one text of its own here now", "z"), (6, "one text of its own here now", "x")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, th string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted({(5, rows[0][1]), (5, rows[1][1])})
+
+
 def test_odd_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (2, "a b"), (1, "A  b"), (1, "A  b"), (None, "c"), (None, None)], "doc_id long, text string")
     got = sorted(map(str, corpus_pipeline.keep_one_of_each(spark, docs, "").collect()))

@@ -90,7 +90,7 @@ def test_trie_join_on_dense_prints(spark, subtrie_rows):
             x ^= 1 << b
         prints[i] = x
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in set(prints.values())]
-    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), 4, subtrie_rows).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long").withColumn("node", F.col("fp")), 4, subtrie_rows).collect()
     assert all((r["u"] ^ r["v"]).__and__((1 << 64) - 1).bit_count() > 0 for r in links)
     by = {v: v for v in prints.values()}
 
@@ -109,11 +109,12 @@ def test_trie_join_on_dense_prints(spark, subtrie_rows):
 def test_simhash_odd(spark):
     got = [(r["id"], r["component_id"]) for r in simhash.near_duplicates(odd(spark)).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (5, 1), (5, 1), (None, 1), (2, 2), (3, 2), (None, 2), (8, 2), (4, 4), (9, 9)], key=str)
-    kept = simhash.drop_near_duplicates(odd(spark).withColumn("fp", F.lit(1)).withColumn("group", F.lit("x"))).collect()
-    assert sorted(r["doc_id"] for r in kept) == [1, 2, 4, 9]
+    assert simhash.near_duplicates(odd(spark).withColumn("fp", F.lit(1)).withColumn("first", F.lit("x"))).count() == 10
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
-    lone = spark.createDataFrame([(None, "q w e r t"), (1, "something else entirely")], "doc_id long, text string")
-    assert simhash.drop_near_duplicates(lone).count() == 2
+    named = odd(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sorted(str(r["component_id"]) for r in simhash.near_duplicates(named).collect()) == sorted(["d1"] * 4 + ["d2"] * 4 + ["d4", "d9"])
+    lone = spark.createDataFrame([(None, "q w e r t"), (None, "q w e r t y u i"), (1, "something else entirely")], "doc_id long, text string")
+    assert {(r["id"], r["component_id"]) for r in simhash.near_duplicates(lone).collect()} == {(None, None), (1, 1)}
 
 
 # 2 ---------------------------------------------------------------------------------------------
