@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import ensure_checkpoint_dir, map_arrow, shared_folder, spread, stage
 
-__all__ = ["WORD", "WS_CLASS", "Seen", "ensure_checkpoint_dir", "fresh", "kept", "map_arrow", "map_texts", "numbered", "read", "running", "shared_folder", "slices", "stage", "string_hashes", "text_columns"]
+__all__ = ["WORD", "WS_CLASS", "Seen", "ensure_checkpoint_dir", "fresh", "joined_hot", "kept", "map_arrow", "map_texts", "numbered", "read", "running", "shared_folder", "slices", "stage", "string_hashes", "text_columns"]
 
 #: A word is a longest run of characters outside these six (written for regex classes).
 WS_CLASS = r"\x20\x09-\x0D"
@@ -62,6 +62,16 @@ def running(counts: DataFrame, at: str, n: str, out: str, group: int = 4096) ->
     return each.join(totals, "_g").withColumn(out, (F.col(out) + F.col("_o")).cast("long")).drop("_g", "_o")
 
 
+def joined_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``one``, a row for each value of ``key`` that says how many of the ``total`` rows hold it (``n``, dropped).
+
+    Values of over ``hot`` rows and over a thousandth of all, at most 1,000, go to every task, and their rows stay where they are.
+    """
+    most = max(hot, total // 1000)
+    often, seldom = F.broadcast(one.where(F.col(n) > most).drop(n)), one.where(F.col(n) <= most).drop(n)
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+
+
 def numbered(rows: DataFrame, keys: DataFrame, key: str, out: str, salt_rows: int = 10_000, broadcast_rows: int = 500_000) -> DataFrame:
     """``rows`` with ``out``: 0 where ``key`` is there once, else 0, 1, 2 and so on over the rows of a key.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
 
-from .common import fresh, map_texts, slices, stage
+from .common import fresh, joined_hot, map_texts, slices, stage
 from .simhash import sketch_links
 
 SEED, WORDS, ROUNDS = 42, 24, 3
@@ -135,7 +135,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     slim = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType
     prints = stage(map_texts(slim, _nodes(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, th long, node long, n long, words array<long>"))
-    first = prints.groupBy("node").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.first("words").alias("words"))
+    first = prints.groupBy("node").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.first("words").alias("words"), F.count("*").alias("rows"))
     first = stage(first)
     groups = _whole(connected_components(sketch_links(first.where("n > 0").select("node", "words"), WORDS)))
     pool = stage(first.select("node", "n").join(groups, "node").select(F.col("root").alias("bucket"), "node", "n"))
@@ -144,14 +144,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         wanted = first.join(pool.select("node").distinct(), "node", "left_semi").select("th", "node")
         texts = stage(slim.select("th", "text").join(wanted, "th").groupBy("node").agg(F.min("text").alias("text")))
         roots = _links(pool, texts, shingle, similarity)
-    member = first.select("node", F.col("node").alias("group"), F.col("first").alias("component_id"))
+    member = first.select("node", "rows", F.col("node").alias("group"), F.col("first").alias("component_id"))
     if roots is not None:
         # Only nodes that are alike others have a group; the nodes of one are few beside its rows.
         linked = first.select("node", "first").join(_whole(roots), "node")
         least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
         least = stage(linked.select("node", "root").join(F.broadcast(least) if least.count() <= 1_000_000 else least, "root").select("node", F.col("root").alias("_root"), F.col("component_id").alias("_least")))
-        member = member.join(least, "node", "left").select("node", F.coalesce("_root", "group").alias("group"), F.when(F.col("_root").isNotNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.select("id", "th", "node").join(member, "node").select("id", "th", "group", "component_id")
+        member = member.join(least, "node", "left").select("node", "rows", F.coalesce("_root", "group").alias("group"), F.when(F.col("_root").isNotNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined_hot(prints.select("id", "th", "node"), stage(member), "node", "rows", prints.count()).select("id", "th", "group", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

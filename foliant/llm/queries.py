@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_ann": ann.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
 
-from .common import map_arrow, map_texts, read, slices, stage
+from .common import joined_hot, map_arrow, map_texts, read, slices, stage
 
 BITS = 64
 SEED = 42
@@ -251,14 +251,14 @@ def sketch_links(sketches: DataFrame, words: int, block: int = 16, radius: int =
 
 
 def _component_ids(first: DataFrame, links: DataFrame) -> DataFrame:
-    """``first`` (fp, first: the smallest id or null), ``links`` of its nodes -> (fp, component_id).
+    """``first`` (fp, first: the smallest id or null, n), ``links`` of its nodes -> (fp, n, component_id).
 
     Nodes are named by their smallest ids, those without an id last, so a component's root carries
     its id and no rows of a component meet.
     """
     roots = connected_components(links)
     roots = roots.select(F.col("node.fp").alias("fp"), F.col("root.first").alias("_least"), F.lit(True).alias("_linked"))
-    return first.join(roots, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("first")).alias("component_id"))
+    return first.join(roots, "fp", "left").select("fp", "n", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("first")).alias("component_id"))
 
 
 def _node():
@@ -278,9 +278,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType
     prints = stage(map_texts(slim, _fingerprints(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, fp long"))
-    first = stage(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    member = _component_ids(first, fingerprint_links(first.select("fp", _node()), radius, subtrie_rows))
-    return prints.join(member, "fp").select("id", "fp", "component_id")
+    first = stage(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    member = stage(_component_ids(first, fingerprint_links(first.select("fp", _node()), radius, subtrie_rows)))
+    return joined_hot(prints, member, "fp", "n", prints.count()).select("id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,28 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear SVM.
-
-The kernel (Lodhi et al., 2002) counts common subsequences of ``N`` letters, each
-weighted down by ``DECAY`` for every letter it spans, so that ``idixot`` and ``i.d.i.o.t``
-stay near ``idiot``. A sentence is scored by its words (letter runs, also those spelt
-letter by letter with spaces between): the most toxic word decides, and the most toxic sentence decides for the
-document. Training knows labels of documents only, so it picks in every toxic document the words
-that the machine finds most toxic, learns from them and from the worst words of
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear SVM on labelled sentence windows.
+
+The kernel (Lodhi et al., 2002) counts common subsequences of three letters, each
+weighted down by ``DECAY`` for every letter it spans, so that ``idixot``, ``i.d.i.o.t`` and ``i d i o t``
+stay near ``idiot``. A subsequence spans at most ``SPAN`` letters, a run of marks or spaces counting as one; so a window of a
+sentence has a bounded number of them, and the kernel of a window with all landmarks, the machine's value included, is a sum over them of
+numbers in one table. Windows begin at every letter of a text and hold the subsequences that begin in their first ``WINDOW`` letters: they
+overlap, and nothing of a text is left out. The most toxic window decides for the document.
+
+Landmarks are windows of labelled documents, toxic and harmless. Training knows labels of documents only, so it picks in every toxic document the windows
+that the machine finds most toxic, learns from them and from the worst windows of
 harmless documents, and picks again (multiple-instance SVM).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,147 +30,217 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Seen, kept, map_texts, read, slices, text_columns
+from .common import kept, map_texts, read, slices, text_columns
 from .labelled import held_out, labelled_sample
 
-N, DECAY = 3, 0.6
-LONGEST = 24  # longer words are compared window by window
+N, SPAN, DECAY, WINDOW = 4, 7, 0.7, 12
+BITS = 5  # of a letter's number
+GAP, BARRIER = 28, (1 << BITS) - 1
 NO_WORD = -9.0
 SURE = 14.0  # how many toxic documents times log odds: more than chance gives among all words of a sample
-_SPELT = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
-_SPELT_SOMEWHERE = r"(?:^|\s)(?:[^\s][ \t]){3,}[^\s](?:\s|$)"
 _OTHER = re.compile(r"[\W_]+")
+#: Places of the other letters of a subsequence after its first.
+PLACES = list(itertools.combinations(range(1, SPAN), N - 1))
+WEIGHTS = np.array([DECAY ** (p[-1] + 1) for p in PLACES], np.float32)
+CODES = 1 << N * BITS
+
+
+def number_of(c: str) -> int:
+    """A character's number: a to z with and without accents, digits, and the letters of other scripts by a hash; marks and spaces are the gap."""
+    c = unicodedata.normalize("NFKD", c.lower())[:1] or " "
+    c = {"\u00df": "s", "\u00e6": "a", "\u00f8": "o", "\u0153": "o", "\u0131": "i", "\u0142": "l", "\u0111": "d"}.get(c, c)
+    if "a" <= c <= "z":
+        return 1 + ord(c) - ord("a")
+    if "0" <= c <= "9":
+        return 27
+    return GAP + 1 + zlib.crc32(c.encode("utf-8", "surrogatepass")) % (BARRIER - GAP - 1) if c.isalnum() else GAP
+
+
+@functools.lru_cache(maxsize=1)
+def _numbers() -> np.ndarray:
+    """Numbers of the first 65536 characters."""
+    out = np.fromiter((number_of(chr(i)) for i in range(1 << 16)), np.uint8, 1 << 16)
+    out[0] = BARRIER
+    return out
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct raw words of a lower-cased text, letter-by-letter spellings joined."""
-    if not text:
-        return set()
-    text = text.lower()
-    return set(text.split()) | set(spelt(text))
-
-
-def spelt(text: str) -> list[str]:
-    """Words written letter by letter with spaces, put together."""
-    return ["".join(m.group().split()) for m in _SPELT.finditer(text)]
-
-
-def letters(word: str) -> str:
-    return _OTHER.sub("", word)
-
-
-def _codes(words: list[str], width: int) -> np.ndarray:
-    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width) if words else np.zeros((0, width), np.uint32)
-
+def streams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters' numbers of all texts, where each text begins, where it ends); runs of marks and spaces are one gap.
 
-def kernel(s: np.ndarray, t: np.ndarray, n: int = N, decay: float = DECAY) -> np.ndarray:
-    """Row by row, the kernel of two padded code matrices (padding 0 matches nothing)."""
-    p, width = t.shape
-    k = np.arange(width)
-    falling = np.where(k[:, None] <= k[None, :], decay ** (k[None, :] - k[:, None] + 0.0), 0.0).astype(np.float32)
-    prime = [np.ones((p, width), np.float32)] + [np.zeros((p, width), np.float32) for _ in range(n - 1)]
-    total = np.zeros(p, np.float32)
-    square = np.float32(decay * decay)
-    for a in range(s.shape[1]):
-        live = s[:, a, None]
-        match = ((live == t) & (live != 0)).astype(np.float32) * square
-        total += np.einsum("ij,ij->i", match, prime[n - 1])
-        for i in range(n - 1, 0, -1):
-            made = (match * prime[i - 1]) @ falling
-            # prime[i][:, k] is of the first k letters of t
-            prime[i] *= np.float32(decay)
-            prime[i][:, 1:] += made[:, :-1]
-    return total
+    Gaps between letters that stand alone are dropped, so that a word spelt letter by letter is the word. A gap may begin or end a
+    subsequence, so that beginnings and ends of words count, and one stands at both ends of a text. As many barriers as a window is long stand after each text, so that no window reaches from one into another.
+    """
+    texts = [f" {t} ".replace("\0", " ") if t else "" for t in texts]
+    joined = ("\0" * WINDOW).join([*texts, ""])
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(code) and code.max() >= 1 << 16:
+        high = code >= 1 << 16
+        number = _numbers()[np.where(high, 32, code)]
+        kinds, back = np.unique(code[high], return_inverse=True)
+        number[high] = np.fromiter((number_of(chr(k)) for k in kinds), np.uint8, len(kinds))[back]
+    else:
+        number = _numbers()[code]
+    stay = np.ones(len(number), bool)
+    stay[1:] = (number[1:] != GAP) | (number[:-1] != GAP)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size + WINDOW) - size - WINDOW
+    place = np.flatnonzero(stay)
+    s = number[place]
+    ends = (s == GAP) | (s == BARRIER)
+    alone = np.zeros(len(s), bool)
+    alone[1:-1] = ~ends[1:-1] & ends[:-2] & ends[2:]
+    apart = np.zeros(len(s), bool)
+    apart[1:-1] = (s[1:-1] == GAP) & alone[:-2] & alone[2:]
+    stay[place[apart]] = False
+    upto = np.concatenate([[0], np.cumsum(stay)])
+    return number[stay], upto[begin], upto[begin + size]
+
+
+def subsequences(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Codes of the subsequences that begin at each of ``starts`` (one column each of PLACES); 0 where one holds a barrier, or a gap between its letters."""
+    s = np.concatenate([s, np.full(SPAN, BARRIER, s.dtype)]).astype(np.int32)
+    own = s[starts]
+    near = [s[starts + i] for i in range(1, SPAN)]
+    good = [x != BARRIER for x in [own, *near]]
+    out = np.zeros((len(starts), len(PLACES)), np.int32)
+    for k, places in enumerate(PLACES):
+        code, fine = own, good[0]
+        for i in places:
+            code, fine = code << BITS | near[i - 1], fine & good[i]
+        for i in places[:-1]:
+            fine = fine & (near[i - 1] != GAP)
+        out[:, k] = np.where(fine, code, 0)
+    return out
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    bits = np.where(codes > 0, np.uint64(1) << (codes.astype(np.uint64) % np.uint64(64)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1) if codes.shape[1] else np.zeros(len(codes), np.uint64)
+def window_codes(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes of windows, a row each: the subsequences of ``WINDOW`` letters from ``starts`` on, as far as their texts' ``ends``."""
+    at = starts[:, None] + np.arange(WINDOW)
+    codes = subsequences(s, np.minimum(at, len(s)).ravel()).reshape(len(starts), WINDOW, len(PLACES))
+    codes[at >= ends[:, None]] = 0
+    return codes.reshape(len(starts), -1)
+
+
+_ROW = np.tile(WEIGHTS, WINDOW)
+PLAIN = float(np.linalg.norm(_ROW))  # length of a window that holds each subsequence once
+
+
+def excess(codes: np.ndarray) -> np.ndarray:
+    """How much longer than ``PLAIN`` each window's feature vector is, 1 at least: what a window that repeats itself is divided by."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    c, w = np.take_along_axis(codes, order, 1), np.where(np.take_along_axis(codes, order, 1) > 0, _ROW[order], 0).astype(float)
+    first = np.ones(c.shape, bool)
+    first[:, 1:] = c[:, 1:] != c[:, :-1]
+    sums = np.add.reduceat(w.ravel(), np.flatnonzero(first.ravel()))
+    row = np.nonzero(first)[0]
+    return np.maximum(1.0, np.sqrt(np.bincount(row, sums * sums, minlength=len(codes))) / PLAIN)
+
+
+class Landmarks:
+    """Normalised feature vectors of windows, kept by the codes they hold."""
+
+    def __init__(self, codes: np.ndarray):
+        self.n = len(codes)
+        kinds = np.unique(codes)
+        self.kinds = kinds[kinds > 0]
+        self.where = np.full(CODES, len(self.kinds), np.int32)
+        self.where[self.kinds] = np.arange(len(self.kinds))
+        self.phi = np.zeros((len(self.kinds) + 1, self.n), np.float32)
+        for m, row in enumerate(codes):
+            np.add.at(self.phi[:, m], self.where[row], _ROW)
+        self.phi[-1] = 0
+        self.phi /= np.maximum(np.linalg.norm(self.phi, axis=0), 1e-9)
+
+    def kernels(self, codes: np.ndarray) -> np.ndarray:
+        """Kernel of each window with each landmark, divided by the landmark's length and the window's ``excess``."""
+        out = np.zeros((len(codes), self.n), np.float32)
+        at = self.where[codes]
+        row, k = np.nonzero(at < len(self.kinds))
+        for cut in np.array_split(np.arange(len(row)), max(1, len(row) // 20_000)):
+            if len(cut):
+                r = row[cut]
+                first = np.flatnonzero(np.diff(r, prepend=-1))
+                out[r[first]] += np.add.reduceat(self.phi[at[r, k[cut]]] * _ROW[k[cut], None], first)
+        return out / excess(codes)[:, None].astype(np.float32)
+
+    def table(self, alpha: np.ndarray) -> np.ndarray:
+        """For each code, the sum of alpha times the landmarks' feature: a window's value is the weighted sum of its codes' entries."""
+        out = np.zeros(CODES, np.float32)
+        out[self.kinds] = self.phi[:-1] @ alpha.astype(np.float32)
+        return out
 
 
 @dataclass
 class Machine:
-    """Landmarks, weights of their normalised kernels, and the document's logistic scale."""
+    """A table of values of subsequences, the bias, and the document's logistic scale."""
 
-    landmarks: list[str]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    table: np.ndarray
     bias: float = NO_WORD
     slope: float = 1.0
     offset: float = 0.0
 
-    def __post_init__(self):
-        width = max([1, *map(len, self.landmarks)])
-        self._codes = _codes(self.landmarks, width)
-        self._mask = _masks(self._codes)
-        self._self = np.sqrt(np.maximum(kernel(self._codes, self._codes), 1e-12)) if self.landmarks else np.zeros(0)
-        self._seen: Seen | None = None
-
-    def features(self, words: list[str]) -> np.ndarray:
-        """Kernels of words (letters only, LONGEST at most) with the landmarks, normalised.
-
-        A landmark takes part where the word has three fifths of its letters; else 0.
-        """
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if not words or not self.landmarks:
-            return out
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        least = np.maximum(N, np.ceil(0.6 * np.bitwise_count(self._mask))).astype(np.int64)
-        order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 2_000):
-            rows = order[at : at + 2_000]
-            width = int(size[rows].max())
-            if width < N:
-                continue
-            codes = _codes([words[i] for i in rows], width)
-            common = np.bitwise_count(_masks(codes)[:, None] & self._mask[None, :])
-            w, m = np.nonzero(common >= least[None, :])
-            if not len(w):
-                continue
-            need, back = np.unique(w, return_inverse=True)
-            own = np.sqrt(np.maximum(kernel(codes[need], codes[need]), 1e-12))
-            for k in range(0, len(w), 8_000):
-                cut = slice(k, k + 8_000)
-                value = kernel(codes[w[cut]], self._codes[m[cut]])
-                out[rows[w[cut]], m[cut]] = value / (own[back[cut]] * self._self[m[cut]])
-        return out
-
-    def of_words(self, raw: list[str]) -> np.ndarray:
-        """The machine's value of each raw word; a long word has that of its best window."""
-        parts, owner = [], []
-        for i, r in enumerate(raw):
-            w = letters(r)
-            for s in range(0, max(1, len(w) - LONGEST + LONGEST // 2), LONGEST // 2) if len(w) > LONGEST else (0,):
-                parts.append(w[s : s + LONGEST])
-                owner.append(i)
-        out = np.full(len(raw), -np.inf)
-        if parts:
-            np.maximum.at(out, owner, self.features(parts) @ self.weights + self.bias)
+    def windows(self, s: np.ndarray) -> np.ndarray:
+        """The value, without the bias and undivided by ``excess``, of the window that begins at each letter."""
+        total = np.zeros(len(s) + 1)
+        for at in range(0, len(s), 1 << 18):
+            n = min(1 << 18, len(s) - at)
+            x = np.full(n + SPAN, BARRIER, np.int32)
+            part = s[at : at + n + SPAN]
+            x[: len(part)] = part
+            value = np.zeros(n, np.float32)
+            for first in itertools.combinations(range(1, SPAN), N - 2):
+                code = x[:n]
+                for i in first:
+                    code = code << BITS | x[i : i + n]
+                code = code << BITS
+                for j in range(first[-1] + 1, SPAN):
+                    value += self.table[code | x[j : j + n]] * np.float32(DECAY ** (j + 1))
+            total[at + 1 : at + n + 1] = value
+        np.cumsum(total, out=total)
+        to = np.minimum(np.arange(len(s)) + WINDOW, len(s))
+        return total[to] - total[:-1]
+
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        """The largest value among each text's windows; the bias where it has none."""
+        s, begin, end = streams(texts.to_pylist())
+        out = np.full(len(begin), float(self.bias))
+        full = np.flatnonzero(end > begin)
+        if len(full):
+            value = self.windows(s)
+            size = end[full] - begin[full]
+            own = np.repeat(begin[full] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            value = value[own]  # of windows that begin in a text
+            start = np.cumsum(size) - size
+            top = np.maximum.reduceat(value, start)
+            at = np.flatnonzero(value == np.repeat(top, size))
+            at = at[np.searchsorted(at, start)]  # the first of each text
+            divided = top / np.where(top > 0, excess(window_codes(s, own[at], end[full])), 1)
+            # Dividing only lowers a value: where it did, other windows are divided in order of their values until no other can be larger.
+            for i in np.flatnonzero(divided < top):
+                divided[i] = self._divided(s, value[start[i] : start[i] + size[i]], int(begin[full[i]]), int(end[full[i]]))
+            out[full] = divided + self.bias
         return out
 
-    def of_texts(self, texts: pa.Array, most: int = 2_000_000) -> np.ndarray:
-        """The largest value among each text's words; the bias where it has none."""
-        if self._seen is None or len(self._seen) > most:
-            self._seen = Seen(np.float32)
-        low = pc.utf8_lower(pc.fill_null(texts, ""))
-        words = pc.ascii_split_whitespace(low)
-        n = words.value_lengths().to_numpy(zero_copy_only=False)
-        coded = words.flatten().dictionary_encode()
-        each = self._seen.values(coded.dictionary, lambda new: self.of_words(new.to_pylist()))[coded.indices.to_numpy()]
-        out = np.full(len(n), float(self.bias))
-        full = n > 0
-        if full.any():
-            out[full] = np.maximum.reduceat(each, (np.cumsum(n) - n)[full])
-        # Words spelt letter by letter are rare: only texts that hold such a run are looked at again.
-        for i in np.flatnonzero(pc.match_substring_regex(low, _SPELT_SOMEWHERE).to_numpy(zero_copy_only=False)):
-            joined = spelt(low[int(i)].as_py())
-            if joined:
-                out[i] = max(out[i], self.of_words(joined).max())
-        return out
+    @staticmethod
+    def _divided(s: np.ndarray, value: np.ndarray, begin: int, end: int) -> float:
+        best, n, value = -np.inf, 8, value.copy()
+        while True:
+            at = np.argpartition(-value, n - 1)[:n] if n < len(value) else np.flatnonzero(value > -np.inf)
+            best = max(best, float((value[at] / excess(window_codes(s, begin + at, np.full(len(at), end)))).max(initial=-np.inf)))
+            value[at] = -np.inf
+            if value.max() <= max(best, 0):
+                return best
+            n = min(2048, n * 8)
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
 
 
+def words_of(text: str | None) -> set[str]:
+    """The distinct words of a lower-cased text, letters only."""
+    return {w for w in (_OTHER.sub("", x) for x in (text or "").lower().split()) if w}
+
+
 def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> tuple[list[str], set[str]]:
     """Words that stand for toxic documents, and all words that surely do: the sure ones, then each next one covers the most that are left.
 
@@ -197,7 +273,7 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> tuple[li
     sure = sorted((g for g, n in pos.items() if g.startswith("^") and odds[g] > 3 and n * odds[g] > SURE), key=lambda g: (-pos[g], g))
     out = [g[1:] for g in sure[: most // 2]]
     seen_grams = {g for w in out for g in marks(w)}
-    good = {g for g, o in odds.items() if o > 1.5 and pos[g] * o > SURE} - seen_grams
+    good = {g for g, o in odds.items() if o > 3 and pos[g] * o > SURE} - seen_grams
     left = [(bag, m) for bag, m in toxic_docs if not m & {f"^{w}" for w in out}]
     while left and len(out) < most:
         seen = Counter(g for _, m in left for g in m if g in good)
@@ -216,24 +292,48 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> tuple[li
     return out, {g[1:] for g in sure}
 
 
-def _svm(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weighted squared-hinge linear SVM by accelerated gradient steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+def _svm(x: np.ndarray, gram: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Weighted squared-hinge SVM in the landmarks' space by Newton's method: (alpha, bias) of values ``x @ alpha + bias``.
+
+    ``x``: kernels with the landmarks; ``gram``: those of the landmarks among themselves, which measures alpha (Nystroem).
+    """
     s = np.where(y > 0, 1.0, -1.0)
-    w = w / w.sum()
-    rate = 1 / (2 * (w[:, None] * z * z).sum() + 2 * ridge)
-    v = u = np.zeros(z.shape[1])
-    for k in range(steps):
+    weight = weight / weight.sum()
+    m = x.shape[1]
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    size = np.zeros((m + 1, m + 1))
+    size[:m, :m] = ridge * (gram + 1e-3 * np.eye(m))
+    size[m, m] = 1e-9
+
+    def loss(u: np.ndarray) -> tuple[float, np.ndarray]:
         slack = np.maximum(0, 1 - s * (z @ u))
-        grad = -2 * z.T @ (w * s * slack) + 2 * ridge * np.append(u[:-1], 0)
-        new = u - rate * grad
-        u, v = new + k / (k + 3) * (new - v), new
-    return v[:-1], float(v[-1])
+        return float(u @ size @ u + (weight * slack * slack).sum()), slack
+
+    u = np.zeros(m + 1)
+    now, slack = loss(u)
+    for _ in range(steps):
+        live = slack > 0
+        a = z[live].astype(float)
+        half = size + (a * weight[live, None]).T @ a
+        to = np.linalg.solve(half, a.T @ (weight[live] * s[live]))
+        rate = 1.0
+        while rate > 1e-4:
+            new, its = loss(u + rate * (to - u))
+            if new <= now:
+                break
+            rate /= 2
+        done = now - new <= 1e-9 * now
+        if new <= now:
+            u, now, slack = u + rate * (to - u), new, its
+        if done:
+            break
+    return u[:-1], float(u[-1])
 
 
 def with_gaps(words: list[str]) -> Iterator[str]:
-    """Each word with one foreign letter put inside, at every place: what gapped insults look like to the kernel."""
+    """Each word with one foreign letter or a gap put inside, at every place: what gapped insults look like to the kernel."""
     for w in words:
+        yield from (f"{w[:i]} {w[i:]}" for i in range(2, len(w) - 1))
         foreign = next(c for c in "xqzwjkv" if c not in w) if any(c not in w for c in "xqzwjkv") else "x"
         for i in range(1, len(w)):
             yield w[:i] + foreign + w[i:]
@@ -272,63 +372,83 @@ def without_copies(bags: list[set[str]]) -> list[int]:
     return out
 
 
-def train(sample: list[tuple[str, int]], landmarks: int = 40, near_misses: int = 16, rounds: int = 4) -> Machine:
-    """A machine from (text, toxic) pairs. Without both labels nothing is known to be toxic: it answers the share of toxic ones, 0.25 at most."""
+def train(sample: list[tuple[str, int]], words: int = 60, contexts: int = 8, hard: int = 80, most_windows: int = 6000, rounds: int = 6) -> Machine:
+    """A machine from (text, toxic) pairs. Without both labels nothing is known to be toxic: it answers the share of toxic ones, 0.25 at most.
+
+    Landmarks: up to ``words`` telling words, cut from their sentences, and the ``hard`` worst windows of harmless documents of each round.
+    Windows of the telling words in ``contexts`` toxic documents each and gapped forms of them are toxic; ``most_windows`` of the worst harmless windows are learnt from in a round.
+    """
     y = np.array([label for _, label in sample])
+    nothing = np.zeros(CODES, np.float32)
     if not len(y) or y.min() == y.max():  # nothing to tell apart
         share = min(0.25, (y.sum() + 0.5) / (len(y) + 1))
-        return Machine([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))
-    bags = [{x for x in map(letters, words_of(t)) if N <= len(x) <= LONGEST} for t, _ in sample]
-    alone = without_copies(bags)
-    bags, y = [bags[i] for i in alone], y[alone]
-    chosen, sure = choose_landmarks(bags, y, landmarks)
-    machine = Machine(chosen)
-    vocabulary = sorted(set().union(*bags))
-    at = {w: i for i, w in enumerate(vocabulary)}
-    of_doc = [np.fromiter((at[w] for w in b), np.int32, len(b)) for b in bags]
-    known = np.fromiter((w in sure for w in vocabulary), bool, len(vocabulary))
-    del bags, at
-    x = machine.features(vocabulary)
-    harmless = np.zeros(len(vocabulary), bool)
-    for rows, label in zip(of_doc, y, strict=True):
-        if not label:
-            harmless[rows] = True
-    # Harmless words nearest to the landmarks become landmarks too, with whatever weight they earn.
-    close = np.where(harmless, x.max(1, initial=0), 0)
-    near = [vocabulary[i] for i in np.argsort(-close, kind="stable")[:near_misses] if close[i] > 0.3]
-    machine = Machine(machine.landmarks + near)
-    x = machine.features(vocabulary)
-    # Nystroem: features of the landmarks' space, K(word, L) K(L, L)^-1/2.
-    values, vectors = np.linalg.eigh(machine.features(machine.landmarks).astype(float) / 2 + machine.features(machine.landmarks).T.astype(float) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    score = x[:, : len(machine.landmarks) - len(near)].max(1, initial=0) - harmless
-    phi = x @ root.astype(np.float32)
-    del x
-    gapped = machine.features(list(with_gaps(chosen))) @ root.astype(np.float32)
-    for _ in range(rounds):
-        pos, neg = Counter(), Counter()
-        for rows, label in zip(of_doc, y, strict=True):
-            if len(rows):
-                best = rows[np.argsort(-score[rows], kind="stable")[: 1 if label else 20]]
-                (pos if label else neg).update({*best.tolist(), *(rows[known[rows]].tolist() if label else ())})
-        rows = np.array([*pos, *neg])
-        labels = np.array([1] * len(pos) + [0] * len(neg))
-        weight = np.sqrt(np.array([*pos.values(), *neg.values()], float))
-        weight[: len(pos)] /= weight[: len(pos)].sum()
-        weight[len(pos) :] /= weight[len(pos) :].sum()
-        inputs = np.concatenate([phi[rows], gapped])
-        labels = np.append(labels, np.ones(len(gapped)))
-        weight = np.append(weight, np.full(len(gapped), 2.5 / max(1, len(gapped))))
-        w, bias = _svm(inputs, labels, weight)
-        score = phi @ w + bias
-    machine.weights, machine.bias = root @ w, bias
-    value = np.array([score[r].max() if len(r) else bias for r in of_doc])
+        return Machine(nothing, 0.0, 0.0, math.log(share / (1 - share)))
+    bags = [words_of(t) for t, _ in sample]
+    # Copies are no further evidence for a label, but a harmless copy of a toxic text is evidence.
+    alone = sorted(i for label in (0, 1) for own in [np.flatnonzero(y == label)] for i in own[without_copies([bags[i] for i in own])])
+    bags, y, texts = [bags[i] for i in alone], y[alone], [sample[i][0] for i in alone]
+    chosen, sure = choose_landmarks(bags, y, words)
+    s, begin, end = streams(texts)
+
+    def found_in(word: str) -> list[tuple[int, int]]:
+        """(place, end of the text) of a word in toxic documents."""
+        out = []
+        for d in np.flatnonzero(y):
+            if word in bags[d]:
+                spelt = np.array([number_of(c) for c in word], np.uint8)
+                for at in np.flatnonzero(s[begin[d] : end[d]] == spelt[0]) + begin[d]:
+                    if np.array_equal(s[at : at + len(spelt)], spelt) and (at == begin[d] or s[at - 1] == GAP):
+                        out.append((max(int(begin[d]), int(at) - 1), int(end[d])))
+                        break
+            if len(out) == contexts:
+                break
+        return out
+
+    places = [p for w in chosen for p in found_in(w)]
+    if not places:
+        share = min(0.25, (y.sum() + 0.5) / (len(y) + 1))
+        return Machine(nothing, 0.0, 0.0, math.log(share / (1 - share)))
+    seeds = window_codes(*streams(chosen))
+    gs, gb, ge = streams(list(with_gaps(chosen)))
+    gapped = window_codes(gs, gb, ge)
+    machine = Machine(Landmarks(seeds).table(np.full(len(seeds), 1 / len(seeds))))
+
+    def best(value: np.ndarray, d: int, n: int) -> list[int]:
+        """The ``n`` best places of windows of a document that don't overlap."""
+        v = value[begin[d] : end[d]].copy()
+        out = []
+        while len(out) < n and len(v):
+            k = int(np.argmax(v))
+            if v[k] == -np.inf:
+                break
+            out.append(int(begin[d]) + k)
+            v[max(0, k - WINDOW) : k + WINDOW] = -np.inf
+        return out
+
+    pool: dict[tuple[int, int], None] = {}
+    for turn in range(rounds):
+        value = machine.windows(s)
+        tops = [[(k, int(end[d])) for k in best(value, d, 2 if label else 4)] for d, label in enumerate(y)]
+        neg = sorted((p for d in np.flatnonzero(y == 0) for p in tops[d]), key=lambda p: (-value[p[0]], p))[:most_windows]
+        # A toxic document's window is evidence if no harmless document has one as toxic; its label may speak of something else.
+        least = max((value[t[0][0]] for d, t in enumerate(tops) if not y[d] and t), default=0.0)
+        pos = places + [p for d in np.flatnonzero(y) for p in tops[d] if turn and value[p[0]] > least]
+        codes = window_codes(s, *map(np.array, zip(*pos, *neg, strict=True)))
+        pool.update(dict.fromkeys(neg[:hard]))
+        marks = Landmarks(np.concatenate([seeds, window_codes(s, *map(np.array, zip(*pool, strict=True)))]) if pool else seeds)
+        gram = (marks.phi.T @ marks.phi).astype(float)
+        x = np.concatenate([marks.kernels(codes), marks.kernels(gapped)])
+        labels = np.concatenate([np.ones(len(pos)), np.zeros(len(neg)), np.ones(len(gapped))])
+        weight = np.concatenate([np.full(len(pos), 1 / len(pos)), np.full(len(neg), 1 / max(1, len(neg))), np.full(len(gapped), 0.7 / max(1, len(gapped)))])
+        alpha, bias = _svm(x, gram, labels, weight)
+        machine = Machine(marks.table(alpha), bias)
+    value = machine.of_texts(pa.array(texts, pa.string()))
     machine.slope, machine.offset = _logistic(value, y)
     return machine
 
 
 def _scored(machine: Machine, text_col: str, width: int):
-    key = ("toxicity", *machine.landmarks, machine.bias, machine.offset)
+    key = ("toxicity", float(np.abs(machine.table).sum()), machine.bias, machine.offset)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(key, lambda: machine)
@@ -340,7 +460,7 @@ def _scored(machine: Machine, text_col: str, width: int):
     return run
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 2400, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 6000, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with toxicity (double, 0 to 1).
 
     Learns from at most ``most_toxic`` and ``most_harmless`` documents of ``df`` that ``labels``

@@ -190,7 +190,7 @@ def test_nearest_is_exact_here(spark):
     x[600:] = x[0]  # many equal vectors
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for row in ann.nearest(d, d.where("vec_id % 20 = 0"), block_rows=150, query_rows=10).orderBy("rank").collect():
+    for row in ann.nearest(d, F.col("vec_id") % 20 == 0, block_rows=150, query_rows=10).orderBy("rank").collect():
         got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
     for q in range(0, 700, 20):
         s = x @ x[q]
@@ -206,43 +206,108 @@ def test_nearest_is_exact_here(spark):
 def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.5, 0.5]), (6, [0.5, 0.5]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, []), (20, [2.0, 0.0]), (20, [1.0, 1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0)).withColumn("rank", F.lit("x"))
-    got = sorted(map(tuple, ann.nearest(d, d.where("vec_id % 20 = 0")).collect()))
-    assert got == [(0, 1, 20, 2.0), (0, 2, 20, 1.0), (0, 3, 6, 0.5), (20, 1, 0, 1.0), (20, 2, 6, 1.0)]
-    assert ann.nearest(d.limit(0), d.limit(0)).count() == 0
+    got = sorted(map(tuple, ann.nearest(d, F.col("vec_id") % 20 == 0).collect()))
+    own = [[(1, 20, 2.0), (2, 20, 1.0), (3, 6, 0.5), (4, 6, 0.5)], [(1, 0, 2.0), (2, 20, 2.0), (3, 6, 1.0), (4, 6, 1.0)], [(1, 20, 2.0), (2, 0, 1.0), (3, 6, 1.0), (4, 6, 1.0)]]
+    assert got == sorted((q, *x) for q, rows in zip((0, 20, 20), own, strict=True) for x in rows)
+    assert ann.nearest(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_blocks_are_skipped_where_vectors_lie_in_clusters(spark):
+    """Far clusters are never visited, and nothing is lost by it."""
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(30, 24)) * 4
+    x = np.concatenate([c + r.normal(size=(60, 24)) * 0.05 for c in centre])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(d, F.col("vec_id") % 20 == 0, block_rows=60, query_rows=20).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    for q in range(0, 1800, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == set(np.argsort(-s, kind="stable")[:20].tolist())
+    c = ann.centroids(x, 30, 42)
+    near = ann._nearest(x, c)
+    radius = {24: {int(k): float(np.linalg.norm(x[near == k] - c[k], axis=1).max()) for k in np.unique(near)}}
+    floor = np.sort(x[::20] @ x.T, axis=1)[:, -21]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(90)), pa.array(x[::20].tolist()), pa.array(floor)], ["row", "v", "floor"])
+    assert sum(b.num_rows for b in ann._visits({24: c}, radius, 2, True)([batch])) < 90 * 3  # of 30 blocks each
 
 
 # 4, 5 ------------------------------------------------------------------------------------------
 
 
-def test_kernel_by_brute_force():
-    def slow(s, t, n=3, d=toxicity.DECAY):
-        import itertools
+def slow_window(text, at=0):
+    """Feature vector of the window of a text that begins at its ``at``-th letter, by the kernel's definition."""
+    import itertools
 
-        total = 0.0
-        for a in itertools.combinations(range(len(s)), n):
-            for b in itertools.combinations(range(len(t)), n):
-                if all(s[i] == t[j] for i, j in zip(a, b, strict=True)):
-                    total += d ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
-        return total
+    plain = re.sub(r"[\W_]+", " ", f" {text} ".lower()).split(" ")
+    pieces = ""
+    for k, w in enumerate(plain):
+        pieces += ("" if k and len(w) == 1 and len(plain[k - 1]) == 1 else " " * bool(k)) + w
+    letters = [toxicity.number_of(c) for c in pieces]
+    out = {}
+    for first in range(at, min(at + toxicity.WINDOW, len(letters))):
+        for places in itertools.combinations(range(first + 1, min(first + toxicity.SPAN, len(letters))), toxicity.N - 1):
+            u = tuple(letters[i] for i in (first, *places))
+            if toxicity.GAP not in u[1:-1]:
+                out[u] = out.get(u, 0.0) + toxicity.DECAY ** (places[-1] - first + 1)
+    return out
 
-    pairs = [("idiot", "idixot"), ("abcab", "bca"), ("moron", "maroon"), ("xyz", "abc"), ("aaaa", "aaa")]
-    s, t = toxicity._codes([a for a, _ in pairs], 8), toxicity._codes([b for _, b in pairs], 8)
-    assert np.allclose(toxicity.kernel(s, t), [slow(a, b) for a, b in pairs], rtol=1e-4)
 
+def dot(a, b):
+    return sum(v * b.get(u, 0.0) for u, v in a.items())
 
-def test_toxicity_tolerates_gaps():
-    r = random.Random(2)
-    filler = ["the", "and", "river", "stone", "walks", "green", "morning", "letter", "window", "quiet", "table", "seven"]
-    sample = []
-    for k in range(240):
-        w = [r.choice(filler) for _ in range(30)]
+
+def test_kernel_by_brute_force():
+    """Kernels of whole sentences' windows with landmark sentences, and a machine's values, against the definition."""
+    sentences = ["you are an idixot, sir", "what a m o r o n", "the quiet river walks on", "la la la la la la", "idiot", "un été très déçu!", "x"]
+    codes = toxicity.window_codes(*toxicity.streams(sentences))
+    marks = toxicity.Landmarks(codes[:5])
+    slow = [slow_window(t) for t in sentences]
+    length = [dot(v, v) ** 0.5 for v in slow]
+    want = np.array([[dot(v, u) / n / max(1.0, m / toxicity.PLAIN) for u, n in zip(slow[:5], length, strict=False)] for v, m in zip(slow, length, strict=True)])
+    assert np.allclose(marks.kernels(codes), want, atol=1e-4)
+    alpha = np.array([1.0, -0.5, 0.25, 0.7, 2.0])
+    machine = toxicity.Machine(marks.table(alpha), bias=-1.5)
+    texts = ["an idiot walks", "la la la la la la la la la la la la idiot la la la", "", "m.o.r.o.n and more", "quiet"]
+    best = []
+    for t in texts:
+        values = []
+        for at in range(len(toxicity.streams([t])[0]) - toxicity.WINDOW if t else 0):
+            v = slow_window(t, at)
+            raw = sum(a * dot(v, u) / n for a, u, n in zip(alpha, slow, length, strict=False))
+            values.append(raw / max(1.0, dot(v, v) ** 0.5 / toxicity.PLAIN) if raw > 0 else raw)
+        best.append(max(values, default=0.0) - 1.5)
+    assert np.allclose(machine.of_texts(pa.array(texts)), best, atol=1e-4)
+
+
+FILLER = ["the", "and", "river", "stone", "walks", "green", "morning", "letter", "window", "quiet", "table", "seven"]
+
+
+def marked(words_, n=240, seed=2):
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        w = [r.choice(FILLER) for _ in range(30)]
         if k % 3 == 0:
-            w.insert(r.randrange(30), r.choice(["idiot", "moron", "scumbag"]))
-        sample.append((" ".join(w), int(k % 3 == 0)))
-    machine = toxicity.train(sample)
-    texts = ["you are an idixot here", "quiet i.d.i.o.t table", "green m o r o n walks", "the river walks", "", None, "..."]
+            w.insert(r.randrange(30), r.choice(words_))
+        out.append((" ".join(w), int(k % 3 == 0)))
+    return out
+
+
+def test_toxicity_tolerates_gaps():
+    machine = toxicity.train(marked(["idiot", "moron", "scumbag"]))
+    texts = ["you are an idixot here", "quiet i.d.i.o.t table", "green m o r o n walks", "table s-c-u-m-b-a-g", "scumbagz river", "the river walks", "seven green windows and a stone", "", None, "..."]
     p = machine.probability(machine.of_texts(pa.array(texts, pa.string())))
-    assert (p[:3] > 0.5).all() and (p[3:] < 0.5).all()
+    assert (p[:5] > 0.5).all() and (p[5:] < 0.5).all()
+
+
+@pytest.mark.parametrize("word", ["zq", "abominationofunspeakableignorance", "\u0434\u0443\u0440\u0430\u043a"])
+def test_short_long_and_foreign_words_are_learnt(word):
+    machine = toxicity.train(marked([word]))
+    held = marked([word], seed=3)
+    p = machine.probability(machine.of_texts(pa.array([t for t, _ in held])))
+    assert all((v >= 0.5) == bool(y) for v, (_, y) in zip(p, held, strict=True))
 
 
 def test_held_out_quality_and_toxicity(spark, sf_dir):
@@ -262,6 +327,7 @@ def test_scores_odd(spark):
     for got, c in ((toxicity.score_toxicity(d, labels), "toxicity"), (quality_knn.score_quality(d, labels), "quality")):
         assert got.count() == 10 and got.where(f"{c} between 0 and 1").count() == 10
     assert toxicity.score_toxicity(d.limit(0), labels).count() == 0
+    assert toxicity.score_toxicity(d, labels).where("toxicity >= 0.5 and coalesce(trim(text), '') = ''").count() == 0
     assert quality_knn.score_quality(d, labels.limit(0)).where("quality = 0").count() == 10
     assert toxicity.score_toxicity(d, labels.limit(0)).count() == 10
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from foliant.llm import labelled, packing, toxicity
-from tests.llm.test_operators import slow_components, slow_fingerprint, slow_targets, words
+from foliant.llm import packing
+from tests.llm.test_near_copies import slow_groups
+from tests.llm.test_operators import marked, slow_copies, slow_targets, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,15 +38,19 @@ def test_columns_stay(staged):
     assert all(made.columns == columns for name, (_, made) in staged.items() if name != "packing")
 
 
-def test_toxicity_stage(spark, staged):
+def test_toxicity_stage(spark, staged, tmp_path):
     given, made = staged["toxicity"]
-    machine = toxicity.train(labelled.labelled_sample(given, spark.read.parquet(f"{SF}/labels.parquet"), "toxic", {0: 2400, 1: 1200}))
-    keep = set()
-    for r in given.collect():
-        value = max(machine.of_words(sorted(toxicity.words_of(r["text"])) or [""]))
-        if machine.probability(np.array([value]))[0] < corpus_pipeline.TOXIC:
-            keep.add(r["doc_id"])
-    assert set(by_id(made)) == keep and 0 < len(keep) < given.count()
+    assert set(by_id(made)) < set(by_id(given)) and all(r == by_id(given)[i] for i, r in by_id(made).items())
+    # Which documents go is known where they are made: 300 labelled ones, and others with insults as learnt, gapped or with letters put in.
+    docs = list(enumerate(t for t, _ in marked(["idiot", "moron", "scumbag", "halfwit"], 600)))
+    labels = [(i, 1, int(i % 3 == 0)) for i, _ in docs]
+    insults = ["idiot", "m o r o n", "s.c.u.m.b.a.g", "halfxwit", "MORON!", "idioot"]
+    toxic = {1000 + i: f"the river {w} walks" for i, w in enumerate(insults)}
+    clean = {2000 + i: t for i, t in enumerate(["the river walks", "a morning letter", "", None, "seven stone tables and a green window", "1234 5678"])}
+    table = spark.createDataFrame([*docs, *toxic.items(), *clean.items()], "doc_id long, text string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r[0] for r in corpus_pipeline.drop_toxic(spark, table, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {i for i, _ in docs if i % 3} | set(clean)
 
 
 def test_line_stage(staged):
@@ -68,7 +72,7 @@ def test_line_stage(staged):
 
 def test_near_stage(staged):
     given, made = (by_id(x) for x in staged["near_dedup"])
-    comp = slow_components({i: slow_fingerprint(r["text"]) for i, r in given.items()}, 4)
+    comp = slow_groups({i: r["text"] for i, r in given.items()})
     assert set(made) == {i for i, c in comp.items() if i == c} and all(made[i] == given[i] for i in made)
 
 
@@ -81,19 +85,25 @@ def test_mixing_stage(staged):
     sizes = Counter()
     for i, n in size.items():
         sizes[source[i]] += n
-    want = slow_targets(dict(sizes))
-
-    def u(i):
-        text = hashlib.md5(given[i]["text"].encode()).hexdigest()
-        return int(hashlib.md5(f"42|{i}|{text}".encode()).hexdigest()[:13], 16) / 2**52
-
+    targets = slow_targets(dict(sizes))
     for s in sizes:
-        ratio = want[s] / sizes[s] if sizes[s] else 0
-        rest, upto = want[s] - int(ratio) * sizes[s], 0
-        for i in sorted((i for i in given if source[i] == s and size[i]), key=u):
+        docs = [i for i in given if source[i] == s and size[i]]
+        want = slow_copies([size[i] for i in docs], targets[s])
+        whole = {i: int(want[size[i]] + 1e-9) for i in docs}
+        rest = targets[s] - sum(whole[i] * size[i] for i in docs)
+
+        def rank(i):
+            text = hashlib.md5(given[i]["text"].encode()).hexdigest()
+            u = int(hashlib.md5(f"42|{i}|{text}".encode()).hexdigest()[:13], 16) / 2**52
+            p = want[size[i]] - whole[i]
+            return (u / (1 - u)) / (p / (1 - p))
+
+        upto = 0
+        for i in sorted((i for i in docs if want[size[i]] - whole[i] > 1e-7), key=rank):
             upto += size[i]
-            assert copies[i] == int(ratio) + (upto - size[i] / 2 <= rest)
-    assert all(not size[i] or copies[i] <= 3 for i in copies) and all(size[i] for i in copies)
+            whole[i] += upto - size[i] / 2 <= rest
+        assert all(copies[i] == whole[i] for i in docs)
+    assert all(copies[i] <= 3 for i in copies) and all(size[i] for i in copies)
 
 
 def test_packing_stage(staged):
