@@ -25,7 +25,7 @@ USED = ("doc_id", "text", "source")
 def _slim(docs: DataFrame) -> DataFrame:
     """The columns that operators use, and all others in one struct, so that no name of theirs can clash with an operator's."""
     rest = [c for c in docs.columns if c not in USED]
-    return docs.select(*USED, (F.struct(*rest) if rest else F.lit(None)).alias("others"))
+    return docs.select(*[c for c in docs.columns if c in USED], (F.struct(*rest) if rest else F.lit(None)).alias("others"))
 
 
 def _back(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
