@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 @dataclass
@@ -121,3 +124,56 @@ def page_rotation(width: Column, height: Column, degrees: Column) -> PageRotatio
     wide, high = F.abs(a) * width + F.abs(b) * height, F.abs(a) * height + F.abs(b) * width
     new_w, new_h = (F.greatest(F.lit(1.0), F.ceil(v - 1e-9).cast("double")) for v in (wide, high))
     return PageRotation(a, b, wide / 2 - a * width / 2 - b * height / 2, high / 2 + b * width / 2 - a * height / 2, new_w, new_h)
+
+
+def _hull(points: list) -> list[tuple[float, float]] | None:
+    """Corners of the convex hull, counter-clockwise; None without an extent or with a number that isn't finite."""
+    try:
+        p = sorted({(float(x), float(y)) for x, y in points})
+    except (TypeError, ValueError):
+        return None
+    if len(p) < 3 or not all(math.isfinite(v) for q in p for v in q):
+        return None
+
+    def chain(order):
+        out: list[tuple[float, float]] = []
+        for q in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    hull = chain(p) + chain(reversed(p))
+    return hull if len(hull) > 2 else None
+
+
+def _area(p: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True)) / 2
+
+
+def hull_iou(left: list, right: list) -> float | None:
+    """IoU of the convex hulls of two lists of points: the left one is cut along each side of the right one. None where one has no extent."""
+    a, b = _hull(left), _hull(right)
+    if a is None or b is None:
+        return None
+    cut = a
+    for p, q in zip(b, b[1:] + b[:1], strict=True):
+        side = [(q[0] - p[0]) * (v[1] - p[1]) - (q[1] - p[1]) * (v[0] - p[0]) for v in cut]
+        kept = []
+        for k, v in enumerate(cut):
+            w, s, t = cut[k - 1], side[k - 1], side[k]
+            if (s < 0) != (t < 0):
+                kept.append((w[0] + (v[0] - w[0]) * s / (s - t), w[1] + (v[1] - w[1]) * s / (s - t)))
+            if t >= 0:
+                kept.append(v)
+        cut = kept
+        if not cut:
+            return 0.0
+    shared = max(0.0, _area(cut))
+    return min(1.0, shared / (_area(a) + _area(b) - shared))
+
+
+@F.pandas_udf(DoubleType())
+def convex_iou(left: pd.Series, right: pd.Series) -> pd.Series:
+    """``hull_iou`` of two columns of polygons (arrays of points)."""
+    return pd.Series([None if a is None or b is None else hull_iou(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")

@@ -12,6 +12,7 @@ PAYMENT = [("cash", ["cash", "nakit", "เงินสด"]), ("credit_card", ["
 # Words that name a kind of document.
 TITLES = [("invoice", ["invoice", "fatura", "ใบแจ้งหนี้"]), ("receipt", ["receipt", "fiş", "fis", "ใบเสร็จ"])]
 
+# An amount with or without a currency, and the marks that are no part of the number.
 MONEY = r"(?i)(?:(?:THB|TRY|USD|EUR|GBP|฿|₺|\$|€|£)\s*)?[-+]?\d[\d.,\s]*\d(?:\s*(?:THB|TRY|USD|EUR|GBP|฿|₺|\$|€|£))?"
 
 
@@ -19,14 +20,14 @@ def normal_money(raw: Column) -> Column:
     """Text of an amount with two decimals, or null.
 
     With both marks the later one is decimal; one comma before two or three digits is decimal ("1,234" is 1.23);
-    other commas go. Rounds half to even.
+    other commas go. Rounds half to even, once; amounts may have 24 digits before the point and count 14 after it.
     """
     x = F.regexp_replace(raw, r"(?i)(?:THB|TRY|USD|EUR|GBP|฿|₺|\$|€|£|\s)", "")
     comma_last = F.length(x) - F.locate(",", F.reverse(x))
     dot_last = F.length(x) - F.locate(".", F.reverse(x))
     both = F.when(comma_last > dot_last, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(","), F.lit("")))
     x = F.when(x.contains(",") & x.contains("."), both).when(x.rlike(r"^[^,]*,[^,]{2,3}$"), F.replace(x, F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(","), F.lit("")))
-    return F.bround(x.try_cast("decimal(24,6)"), 2).cast("decimal(22,2)").cast("string")
+    return F.bround(x.try_cast("decimal(38,14)"), 2).cast("decimal(38,2)").cast("string")
 
 
 def first_marked(text: Column, pairs: list[tuple[str, list[str]]]) -> Column:

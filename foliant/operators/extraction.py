@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions.money import MONEY, currency, document_title, normal_money, payment_method
 
+# Patterns of what stands in a line.
 EMAIL = r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b"
 WEBSITE = r"(?i)\b(?:https?://|www\.)[^\s<>()]+"
-PHONE = r"(?U)(?<!\w)(?:\+?[0-9][0-9\s().\-]{6,}[0-9])(?!\w)"
+PHONE = r"(?U)(?<!\w)(?:\+?\d[\d\s().\-]{6,}\d)(?!\w)"
 DATE = r"(?i)\b(?:\d{1,4}[./\-]\d{1,2}[./\-]\d{1,4}|\d{1,2}[\-\s](?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[\-\s]\d{2,4})\b"
 TIME = r"(?i)\b(?:[01]?\d|2[0-3]):[0-5]\d(?:\s?[AP]M)?\b"
 NUMBER = r"(?i)[:#]\s*([A-Z0-9][A-Z0-9/_.\-]{2,})"
@@ -89,7 +90,7 @@ def with_matches(lines: DataFrame, text: str, confidence: str) -> DataFrame:
         {
             "_email": F.when(t.contains("@"), F.regexp_extract(t, EMAIL, 0)),
             "_site": F.when(low.contains("http") | low.contains("www."), F.regexp_replace(F.regexp_extract(t, WEBSITE, 0), r"[.,;)]+$", "")),
-            "_phone": F.when(t.rlike("[0-9].{6}"), F.regexp_extract(t, PHONE, 0)),
+            "_phone": F.when(t.rlike(r"(?U)\d.{6}"), F.regexp_extract(t, PHONE, 0)),
             "_date": F.when(digit, F.regexp_extract(t, DATE, 0)),
             "_time": F.when(digit & t.contains(":"), F.regexp_extract(t, TIME, 0)),
             "_number": F.when(F.col("_mark") & numbered, F.regexp_extract(t, NUMBER, 0)),
@@ -108,7 +109,7 @@ def line_candidates() -> Column:
     def one(field: str, value: Column, raw: Column, conf: Column = c, status: str = "validated") -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(field).alias("field"), value.alias("value"), raw.alias("raw"), conf.alias("confidence"), F.lit(status).alias("status")))
 
-    found = [one("email", F.col("_email"), F.col("_email")), one("website", F.col("_site"), F.col("_site")), one("phone_number", F.regexp_replace("_phone", r"[^+0-9]", ""), F.col("_phone"))]
+    found = [one("email", F.col("_email"), F.col("_email")), one("website", F.col("_site"), F.col("_site")), one("phone_number", F.regexp_replace("_phone", r"(?U)[^+\d]", ""), F.col("_phone"))]
     found += [one("date", F.col("_date"), F.col("_date")), one("time", F.col("_time"), F.col("_time"))]
     for f in NUMBERED:
         found.append(one(f, F.when(F.col(f"_k_{f}"), F.col("_value")), F.col("_number")))
@@ -149,7 +150,7 @@ def organization(lines: DataFrame, by: list[str], text: str, box: list[str], con
     top = F.max(y1).over(Window.partitionBy(*by))
     letters = F.length(F.regexp_replace(t, r"(?U)[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-    fine = (F.length(t) >= 3) & (letters > 0) & ~t.rlike(r"(?i)invoice|receipt|date|total|tax|fatura|ใบเสร็จ|วันที่") & (capitals / F.greatest(F.lit(1), letters) >= 0.5)
+    fine = (F.length(t) >= 3) & (letters > 0) & ~t.rlike(r"(?i)invoice|receipt|date|total|tax|fatura|ใบเสร็จ") & (capitals / F.greatest(F.lit(1), letters) >= 0.5)
     kept = lines.withColumn("_top", top).where((y0 <= F.col("_top") * 0.25) & fine)
     w = Window.partitionBy(*by).orderBy(y0, x0)
     return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, F.trim(t).alias("value"), (F.col(confidence) * 0.75).alias("confidence"))

@@ -49,6 +49,22 @@ def overlapping(refs: DataFrame, preds: DataFrame, by: list[str], least: float,
     return x.select(*by, "ref", "pred", value.alias("iou")).where(F.col("iou") >= least)
 
 
+def overlapping_polygons(refs: DataFrame, preds: DataFrame, by: list[str], least: float, band: float) -> DataFrame:
+    """(by..., ref, pred, iou): polygons (id, polygon) of one page whose convex hulls have an IoU of ``least`` or more.
+
+    Their boxes meet in horizontal bands as in ``overlapping``; only polygons whose boxes overlap are cut.
+    """
+
+    def boxed(df: DataFrame) -> DataFrame:
+        box = g.polygon_box(F.col("polygon"))
+        return df.select(*by, "id", "polygon", *[box[i].cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+    a, b = boxed(refs), boxed(preds)
+    near = overlapping(a, b, by, 0.0, band).where("iou > 0").select(*by, "ref", "pred")
+    x = near.join(a.select(*by, F.col("id").alias("ref"), F.col("polygon").alias("_p")), [*by, "ref"]).join(b.select(*by, F.col("id").alias("pred"), F.col("polygon").alias("_q")), [*by, "pred"])
+    return x.withColumn("iou", g.convex_iou("_p", "_q")).where(F.col("iou") >= least).select(*by, "ref", "pred", "iou")
+
+
 def greedy_pairs(candidates: DataFrame, by: list[str], left: str, right: str, score: str, reusable: str | None = None) -> DataFrame:
     """Candidates taken by falling score (ties: larger left, then larger right) while both sides are free.
 

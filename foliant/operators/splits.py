@@ -12,6 +12,8 @@ from foliant.operators.graph import components_by_keys
 # Splits in their order with their shares.
 SPLITS = [("train", 0.70), ("dev_select", 0.10), ("dev_calibration", 0.05), ("test_in_domain", 0.15)]
 
+ROTATION_SPLITS = [("train", 0.70), ("validation", 0.15), ("test", 0.15)]
+
 
 def hash_split(df: DataFrame, group: str, seed: int = 42, share: float = 0.15) -> DataFrame:
     """project_split: validation where the group's hash fraction is under ``share``, else train."""
@@ -37,14 +39,14 @@ def leaks(df: DataFrame, split: str, identities: list[str]) -> DataFrame:
 
 
 def leakage_safe_split(
-    df: DataFrame, id_col: str, dataset: str, keys: list[str], held_out: list[str] | None = None, seed: int = 42, ratios: list[tuple[str, float]] = SPLITS
+    df: DataFrame, id_col: str, dataset: str, keys: list[str], held_out: list[str] | None = None, seed: int = 42, ratios: list[tuple[str, float]] = SPLITS, order: str = "size"
 ) -> DataFrame:
     """(id, split_group, project_split): components of shared keys, each wholly in one split.
 
     Components with a row of a held-out dataset are the unseen test. The others go, large ones first and
     then in hash order, to the split whose squared relative distance from its targets grows least (ties: the
-    earlier split). That choice follows all earlier ones, so it runs in one task, over one short
-    row for each kind of component and dataset: components of equal contents, not documents.
+    earlier split), or with ``order`` "hash" in hash order alone. That choice follows all earlier ones, so it runs in one task, over one short
+    row for each component.
     """
     group = components_by_keys(df, id_col, keys).withColumnRenamed("root", "split_group")
     rows = df.select(F.col(id_col).alias("id"), F.col(dataset).alias("dataset")).join(group, "id")
@@ -68,7 +70,7 @@ def leakage_safe_split(
             targets[d] = {s: max(1, v) for s, v in floor.items()}
         filled = {d: dict.fromkeys(names, 0) for d in totals}
         out = []
-        for key, contents in pdf.sort_values(["size", "rank"], ascending=[False, True])[["split_group", "contents"]].itertuples(index=False):
+        for key, contents in pdf.sort_values(["size", "rank"] if order == "size" else ["rank"], ascending=[False, True] if order == "size" else [True])[["split_group", "contents"]].itertuples(index=False):
             def cost(s: str) -> float:
                 change = 0.0
                 for x in contents:

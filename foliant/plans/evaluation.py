@@ -78,21 +78,21 @@ def transcript_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- decoding and calibration
 
-@query("argmax_decode", "SELECT vec_id, CAST(list_position(list_slice(embedding, 1, 8), list_max(list_slice(embedding, 1, 8))) - 1 AS INT) AS predicted, list_max(list_slice(embedding, 1, 8)) >= 0.1 AS kept FROM embeddings")
+@query("argmax_decode", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS predicted, list_max(embedding) >= 0.1 AS kept FROM embeddings")
 def argmax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.slice("embedding", 1, 8)
+    x = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", arrays.argmax(x).alias("predicted"), (F.array_max(x) >= F.lit(0.1).cast("double")).alias("kept"))
 
 
-@query("softmax_temperature", "WITH s AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 4), lambda v: exp(CAST(v AS DOUBLE) / 0.7)) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[2] / list_sum(e), 6) AS p1, round(e[3] / list_sum(e), 6) AS p2, round(e[4] / list_sum(e), 6) AS p3 FROM s")
+@query("softmax_temperature", "WITH s AS (SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE) / 0.7)) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[2] / list_sum(e), 6) AS p1, round(e[3] / list_sum(e), 6) AS p2, round(e[4] / list_sum(e), 6) AS p3 FROM s")
 def softmax_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "embeddings").select("vec_id", arrays.softmax(F.slice("embedding", 1, 4), 0.7).alias("p"))
+    t = table(spark, sf_dir, "embeddings").select("vec_id", arrays.softmax(F.col("embedding"), 0.7).alias("p"))
     return t.select("vec_id", *[r(F.col("p")[i]).alias(f"p{i}") for i in range(4)])
 
 
-@query("temperature_fit", "WITH g AS (SELECT 0.25 * pow(16.0, i / 20.0) AS temperature FROM range(0, 21) t(i)), x AS (SELECT temperature, list_transform(list_slice(embedding, 1, 10), lambda v: CAST(v AS DOUBLE) / temperature) AS s, label FROM embeddings, g) SELECT round(temperature, 6) AS temperature, round(avg(ln(list_sum(list_transform(s, lambda v: exp(v)))) - s[label + 1]), 6) AS nll FROM x GROUP BY temperature")
+@query("temperature_fit", "WITH g AS (SELECT 0.25 * pow(16.0, i / 20.0) AS temperature FROM range(0, 21) t(i)), x AS (SELECT temperature, list_transform(embedding, lambda v: CAST(v AS DOUBLE) / temperature) AS s, label FROM embeddings, g) SELECT round(temperature, 6) AS temperature, round(avg(ln(list_sum(list_transform(s, lambda v: exp(v)))) - s[label + 1]), 6) AS nll FROM x GROUP BY temperature")
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 10).alias("x"), "label")
+    t = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("x"), "label")
     return metrics.temperature_grid(t, "x", "label").select(r(F.col("temperature")).alias("temperature"), r(F.col("nll")).alias("nll"))
 
 

@@ -46,4 +46,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["rule_field_winners"][0](spark, sf_dir)
 
 
-from foliant.plans import corpus, documents, evaluation, results  # noqa: E402, F401  registers its queries
+from foliant.plans import corpus, documents, evaluation, guards, results  # noqa: E402, F401  registers its queries

@@ -160,13 +160,13 @@ def read_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("page_id", "ok", F.posexplode_outer("words").alias("at", "w")).select("page_id", "ok", "at", "w.*")
 
 
-@query("document_results", "SELECT o_orderkey AS document_id, 'INV-' || o_orderkey AS invoice_number, CAST(NULL AS VARCHAR) AS currency_conflict, CASE WHEN o_orderkey % 2 = 0 THEN 'cash' ELSE 'credit_card' END AS payment_method FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0")
+@query("document_results", "SELECT o_orderkey AS document_id, 'INV-' || o_orderkey AS invoice_number, CASE WHEN CAST(o_orderdate AS DATE) = DATE '1999-12-31' THEN '1999-12-31' END AS open_date, CASE WHEN o_orderkey % 2 = 0 THEN 'cash' ELSE 'credit_card' END AS payment_method FROM orders JOIN customer ON o_custkey = c_custkey")
 def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pages for each order, the second with another date: the date stays open, the rest is sure. The SQL covers every fifth order."""
+    """Two pages for each order, the second with another date: the date stays open, the rest is sure."""
     lines = _rendered(spark, sf_dir).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page"), "line", "text", F.lit(0.8).alias("confidence"))
     again = lines.withColumns({"page": F.lit(2), "text": F.when(F.col("text").startswith("Date"), F.lit("Date: 1999-12-31")).otherwise(F.col("text"))})
     results, _ = reading.extract_documents(lines.unionByName(again))
-    return results.select("document_id", F.col("invoice_number.value").alias("invoice_number"), F.col("date.value").alias("currency_conflict"), F.col("payment_method.value").alias("payment_method"))
+    return results.select("document_id", F.col("invoice_number.value").alias("invoice_number"), F.col("date.value").alias("open_date"), F.col("payment_method.value").alias("payment_method"))
 
 
 @query("sampled_angles", "WITH u AS (SELECT doc_id, CAST('0x' || substr(sha256('7|' || doc_id || '|3'), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE AS u FROM documents) SELECT doc_id, round(CASE WHEN u < 0.25 THEN 0 ELSE -180 + (u - 0.25) / 0.75 * 360 END, 6) AS angle FROM u")
