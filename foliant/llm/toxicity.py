@@ -156,7 +156,7 @@ class Landmarks:
         out = np.zeros((len(codes), self.n), np.float32)
         at = self.where[codes]
         row, k = np.nonzero(at < len(self.kinds))
-        for cut in np.array_split(np.arange(len(row)), max(1, len(row) // 20_000)):
+        for cut in np.array_split(np.arange(len(row)), max(1, len(row) // 4_000)):
             if len(cut):
                 r = row[cut]
                 first = np.flatnonzero(np.diff(r, prepend=-1))
@@ -197,8 +197,10 @@ class Machine:
                     value += self.table[code | x[j : j + n]] * np.float32(DECAY ** (j + 1))
             total[at + 1 : at + n + 1] = value
         np.cumsum(total, out=total)
-        to = np.minimum(np.arange(len(s)) + WINDOW, len(s))
-        return total[to] - total[:-1]
+        out = total[-1] - total[:-1]
+        if len(s) >= WINDOW:
+            np.subtract(total[WINDOW:], total[:-WINDOW], out=out[: len(s) - WINDOW + 1])
+        return out
 
     def of_texts(self, texts: pa.Array) -> np.ndarray:
         """The largest value among each text's windows; the bias where it has none."""
@@ -354,18 +356,19 @@ def _logistic(value: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
-def without_copies(bags: list[set[str]]) -> list[int]:
-    """Places of documents of which no earlier one is a near copy, so that a copied text's words are no evidence.
+def without_copies(texts: list[str | None]) -> list[int]:
+    """Places of texts of which no earlier one is a near copy, so that a copied text's words are no evidence.
 
     Two texts count as copies if the rare word of the smallest hash is the same in both, for either of two hashes.
     """
-    df = Counter(w for b in bags for w in b)
-    limit = max(3, len(bags) // 20)
+    words = [np.unique(np.fromiter(map(zlib.crc32, (t or "").lower().encode("utf-8", "surrogatepass").split()), np.uint32)) for t in texts]
+    kinds, n = np.unique(np.concatenate(words), return_counts=True) if words else (np.zeros(0), np.zeros(0))
+    limit = max(3, len(texts) // 20)
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, b in enumerate(bags):
-        rare = [w.encode() for w in b if df[w] <= limit]
-        keys = {(k, min(zlib.crc32(w, k) for w in rare)) for k in (1, 2)} if len(rare) > 5 else set()
+    for i, w in enumerate(words):
+        rare = w[n[np.searchsorted(kinds, w)] <= limit].astype(np.uint64)
+        keys = {(k, int((rare * np.uint64(odd) & np.uint64(0xFFFFFFFF)).min())) for k, odd in ((1, 0x9E3779B1), (2, 0x85EBCA77))} if len(rare) > 5 else set()
         if not keys & seen:
             out.append(i)
         seen |= keys
@@ -383,10 +386,10 @@ def train(sample: list[tuple[str, int]], words: int = 60, contexts: int = 8, har
     if not len(y) or y.min() == y.max():  # nothing to tell apart
         share = min(0.25, (y.sum() + 0.5) / (len(y) + 1))
         return Machine(nothing, 0.0, 0.0, math.log(share / (1 - share)))
-    bags = [words_of(t) for t, _ in sample]
     # Copies are no further evidence for a label, but a harmless copy of a toxic text is evidence.
-    alone = sorted(i for label in (0, 1) for own in [np.flatnonzero(y == label)] for i in own[without_copies([bags[i] for i in own])])
-    bags, y, texts = [bags[i] for i in alone], y[alone], [sample[i][0] for i in alone]
+    alone = sorted(i for label in (0, 1) for own in [np.flatnonzero(y == label)] for i in own[without_copies([sample[i][0] for i in own])])
+    y, texts = y[alone], [sample[i][0] for i in alone]
+    bags = [words_of(t) for t in texts]
     chosen, sure = choose_landmarks(bags, y, words)
     s, begin, end = streams(texts)
 
@@ -442,7 +445,8 @@ def train(sample: list[tuple[str, int]], words: int = 60, contexts: int = 8, har
         weight = np.concatenate([np.full(len(pos), 1 / len(pos)), np.full(len(neg), 1 / max(1, len(neg))), np.full(len(gapped), 0.7 / max(1, len(gapped)))])
         alpha, bias = _svm(x, gram, labels, weight)
         machine = Machine(marks.table(alpha), bias)
-    value = machine.of_texts(pa.array(texts, pa.string()))
+    del s, value, codes, x
+    value = np.concatenate([machine.of_texts(pa.array(texts[at : at + 100], pa.string())) for at in range(0, len(texts), 100)])
     machine.slope, machine.offset = _logistic(value, y)
     return machine
 
@@ -460,7 +464,7 @@ def _scored(machine: Machine, text_col: str, width: int):
     return run
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 6000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 4000, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with toxicity (double, 0 to 1).
 
     Learns from at most ``most_toxic`` and ``most_harmless`` documents of ``df`` that ``labels``
