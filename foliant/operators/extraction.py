@@ -143,8 +143,8 @@ def winners(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.groupBy(*by, "field").agg(best.alias("b"), F.count_distinct("value").alias("values")).select(*by, "field", "b.*", "values")
 
 
-def organization(lines: DataFrame, by: list[str], text: str, box: list[str], confidence: str) -> DataFrame:
-    """(by..., value, confidence): the first line from the top, in the top quarter, that is mostly capitals and no heading."""
+def organization(lines: DataFrame, by: list[str], text: str, box: list[str], confidence: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., value, confidence, also...): the first line from the top, in the top quarter, that is mostly capitals and no heading."""
     x0, y0, y1 = (F.col(box[i]) for i in (0, 1, 3))
     t = F.col(text)
     top = F.max(y1).over(Window.partitionBy(*by))
@@ -153,7 +153,7 @@ def organization(lines: DataFrame, by: list[str], text: str, box: list[str], con
     fine = (F.length(t) >= 3) & (letters > 0) & ~t.rlike(r"(?i)invoice|receipt|date|total|tax|fatura|ใบเสร็จ") & (capitals / F.greatest(F.lit(1), letters) >= 0.5)
     kept = lines.withColumn("_top", top).where((y0 <= F.col("_top") * 0.25) & fine)
     w = Window.partitionBy(*by).orderBy(y0, x0)
-    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, F.trim(t).alias("value"), (F.col(confidence) * 0.75).alias("confidence"))
+    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, F.trim(t).alias("value"), (F.col(confidence) * 0.75).alias("confidence"), *also)
 
 
 def key_value_entities(lines: DataFrame, by: list[str], text: str, box: list[str], confidence: str) -> DataFrame:
@@ -180,6 +180,36 @@ def totals_check(subtotal: Column, tax: Column, service: Column, discount: Colum
     }
 
 
+def totals_status(fields: DataFrame, by: list[str]) -> DataFrame:
+    """``fields`` (by..., field, value, status, ...) with the status that the sums of a page's amounts give; others stay as they are.
+
+    Parts and total that agree are validated and a total that they contradict is a conflict; so are a balance and what was
+    paid. A total under its subtotal is a conflict where tax is missing.
+    """
+    named = {f: F.max(F.when(F.col("field") == f, F.col("value").try_cast("decimal(28,4)"))).alias(f) for f in AMOUNTS}
+    x = fields.where(F.col("field").isin(AMOUNTS)).groupBy(*by).agg(*named.values())
+    v = totals_check(*(F.col(c) for c in ("subtotal", "tax", "service_charge", "discount", "total_amount", "paid_amount", "balance")))
+    x = x.select(*by, v["low_total"].alias("_low"), v["sum_conflict"].alias("_sum"), v["balance_conflict"].alias("_balance"))
+    field, parts = F.col("field"), ["subtotal", "tax", "discount", "service_charge"]
+    new = F.when(field == "total_amount", F.when(F.col("_sum"), "conflict").when(~F.col("_sum"), "validated").when(F.col("_low"), "conflict"))
+    new = new.when(field.isin(parts) & ~F.col("_sum"), "validated").when((field == "balance") & F.col("_balance"), "conflict").when(field.isin("paid_amount", "balance") & ~F.col("_balance"), "validated")
+    return fields.join(x, by, "left").withColumn("status", F.coalesce(new, "status")).drop("_low", "_sum", "_balance")
+
+
+def page_fields(lines: DataFrame, by: list[str], line: str, text: str, box: list[str], confidence: str) -> DataFrame:
+    """(by..., field, value, raw, confidence, status, line, values, method, box): all rule fields of a page with their evidence.
+
+    The winners of ``extract_fields``, the organisation at the top, statuses by the totals, a conflict where several
+    values of one field were found, and for each field its line's box and the rule that found it.
+    """
+    found = extract_fields(lines, by, line, text, confidence).withColumn("method", F.concat(F.lit("rule:"), "field"))
+    top = organization(lines, by, text, box, confidence, (line,))
+    top = top.select(*by, F.lit("organization_name").alias("field"), "value", F.col("value").alias("raw"), "confidence", F.lit("unvalidated").alias("status"), F.col(line).alias("line"), F.lit(1).cast("long").alias("values"), F.lit("rule:top_header_organization").alias("method"))
+    whole = totals_status(found.unionByName(top).withColumn("status", F.when(F.col("values") > 1, "conflict").otherwise(F.col("status"))), by)
+    places = lines.select(*by, F.col(line).alias("line"), F.array(*[F.col(c).cast("double") for c in box]).alias("box"))
+    return whole.join(places, [*by, "line"], "left").select(*by, "field", "value", "raw", "confidence", "status", "line", "values", "method", "box")
+
+
 def question_field(question: Column) -> Column:
     low, out = F.lower(question), None
     for words, field in QUESTIONS:

@@ -42,13 +42,17 @@ def sampled_angle(key: Column, epoch: int, seed: int, low: float = -180.0, high:
     return F.when(u < upright, F.lit(0.0)).otherwise(low + (u - upright) / (1 - upright) * (high - low))
 
 
-def extract_documents(lines: DataFrame, model: DataFrame | None = None, document: str = "document_id", page: str = "page") -> tuple[DataFrame, DataFrame]:
+def extract_documents(lines: DataFrame, model: DataFrame | None = None, document: str = "document_id", page: str = "page", box: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, evidence) of lines (document, page, line, text, confidence).
 
-    Rules read every page, a model's fields (document, page, field, value, confidence) are fused with them page by page, pages
+    With the names of four columns of lines' boxes, the organisation at a page's top is read too. Rules read every page, a model's fields (document, page, field, value, confidence) are fused with them page by page, pages
     are fused to documents, and what stays in doubt is null. ``results`` has a row for each document that has evidence, with all canonical fields.
     """
-    rules = extraction.extract_fields(lines, [document, page], "line", "text", "confidence").select(document, page, "field", "value", "confidence")
+    if box:
+        rules = extraction.page_fields(lines, [document, page], "line", "text", box, "confidence")
+    else:
+        rules = extraction.extract_fields(lines, [document, page], "line", "text", "confidence")
+    rules = rules.select(document, page, "field", "value", "confidence")
     empty = rules.limit(0) if model is None else model.select(document, page, "field", "value", "confidence")
     pages = fusion.fuse_page(empty, rules, [document, page, "field"])
     fused = fusion.fuse_document(pages.where("value is not null"), [document, "field"], "value", "confidence")

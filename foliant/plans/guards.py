@@ -124,6 +124,24 @@ def evidence_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.evidence_gates(table(spark, sf_dir, "documents"), {"long": F.col("n_chars") > 100, "english": F.col("lang") == "en"}, "doc_id")
 
 
+@query("rule_evidence", """WITH c AS (SELECT c_custkey, c_custkey % 3 = 0 AS bad FROM customer)
+SELECT c_custkey, 'organization_name' AS field, 'ACME TRADING' AS value, 0.6::DOUBLE AS confidence, 'unvalidated' AS status, 'rule:top_header_organization' AS method, 0.0::DOUBLE AS y0 FROM c
+UNION ALL SELECT c_custkey, 'subtotal', '100.00', 0.86, 'validated', 'rule:subtotal', 12.0 FROM c UNION ALL SELECT c_custkey, 'tax', '8.00', 0.86, 'validated', 'rule:tax', 24.0 FROM c
+UNION ALL SELECT c_custkey, 'total_amount', CASE WHEN bad THEN '150.00' ELSE '108.00' END, 0.86, CASE WHEN bad THEN 'conflict' ELSE 'validated' END, 'rule:total_amount', 36.0 FROM c
+UNION ALL SELECT c_custkey, 'email', 'a' || c_custkey || '@mail.example', 0.8, CASE WHEN c_custkey % 4 = 0 THEN 'conflict' ELSE 'validated' END, 'rule:email', 48.0 FROM c""")
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt for each customer; a third of the totals don't agree with their parts, a quarter names two addresses."""
+    k = F.col("c_custkey")
+    total = F.when(k % 3 == 0, "Grand total: 150.00").otherwise("Grand total: 108.00")
+    mail = F.concat(F.lit("a"), k.cast("string"), F.lit("@mail.example"))
+    texts = F.array(F.lit("ACME TRADING"), F.lit("Subtotal: 100.00"), F.lit("Tax: 8.00"), total, mail, F.when(k % 4 == 0, F.concat(F.lit("b"), mail)).otherwise("."))
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(texts).alias("line", "text"))
+    y = F.col("line") * 12.0
+    lines = lines.select("c_custkey", "line", "text", F.lit(1.0).alias("x0"), y.alias("y0"), F.lit(90.0).alias("x1"), (y + 10).alias("y1"), F.lit(0.8).alias("c"))
+    f = extraction.page_fields(lines, ["c_custkey"], "line", "text", ["x0", "y0", "x1", "y1"], "c")
+    return f.select("c_custkey", "field", "value", r(F.col("confidence")).alias("confidence"), "status", "method", F.col("box")[1].alias("y0"))
+
+
 _LETTERS = r"regexp_replace(text, '[^\p{L}]', '', 'g')"
 
 
