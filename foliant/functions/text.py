@@ -68,11 +68,13 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def text_score(source: Column, ocr: Column) -> Column:
     """Score of two normalised texts: equal 1, containing up to 0.98, else fuzzy."""
     a, b = F.length(source), F.length(ocr)
+    # The function sees nulls where an earlier branch decides, for Spark runs it on every row.
+    held = (source == ocr) | ((a >= 2) & ocr.contains(source)) | ((b >= 2) & source.contains(ocr))
     return (
         F.when(source == ocr, F.lit(1.0))
         .when((a >= 2) & ocr.contains(source), F.least(F.lit(0.98), a / F.greatest(F.lit(1), b) + 0.25))
         .when((b >= 2) & source.contains(ocr), F.least(F.lit(0.98), b / F.greatest(F.lit(1), a) + 0.25))
-        .otherwise(fuzzy_ratio(source, ocr))
+        .otherwise(fuzzy_ratio(F.when(~held, source), F.when(~held, ocr)))
     )
 
 

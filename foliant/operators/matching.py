@@ -161,11 +161,13 @@ def hard_negatives(entities: DataFrame, positives: DataFrame, page: str, each: i
     return x.where(F.col("place") <= each * F.greatest(F.lit(1), F.coalesce("_n", F.lit(0)))).select(page, F.col("s_id").alias("source"), F.col("t_id").alias("target"), "place")
 
 
-def contained(texts: DataFrame, text: str, passages: DataFrame, passage: str, shingle: int = 5) -> DataFrame:
-    """Pairs of rows where the text holds the passage as it stands.
+def contained(texts: DataFrame, id_col: str, text: str, passages: DataFrame, passage: str, shingle: int = 5) -> DataFrame:
+    """Pairs of rows where the text holds the passage as it stands: all columns of both sides.
 
     Both sides meet on a passage's rarest-looking word run (the one of the smallest hash among its runs of ``shingle`` words inside the passage,
-    first and last word left out), so only texts that hold that run are compared. Passages of one or two words are compared with every text.
+    first and last word left out) or, where that is too short, on its longest inner word. Only ids and hashes are
+    exploded and joined: a text goes along once for each passage that it meets, not for each of its words. Passages of
+    one or two words have no whole word inside; they go to every task if they are few, and are looked for in all texts.
     """
 
     def runs(words: Column) -> Column:
@@ -176,14 +178,18 @@ def contained(texts: DataFrame, text: str, passages: DataFrame, passage: str, sh
         return let(words, hashed)
 
     w = F.split(F.col(passage), r"\s+")
-    p = passages.withColumn("_runs", let(w, lambda x: runs(F.slice(x, F.lit(2), F.greatest(F.lit(0), F.size(x) - 2)))))
-    long = p.where("_runs is not null").withColumn("_key", F.array_min("_runs")).drop("_runs")
-    t = texts.withColumn("_keys", F.array_distinct(runs(F.split(F.col(text), r"\s+"))))
-    hit = t.withColumn("_key", F.explode("_keys")).drop("_keys").join(long, "_key").drop("_key")
-    # Fewer words inside: the longest of them must stand in the text as a word.
-    inner = F.slice(w, F.lit(2), F.greatest(F.lit(0), F.size(w) - 2))
-    short = p.where("_runs is null").drop("_runs").withColumn("_word", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
-    by_word = texts.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), r"\s+")))).join(short.where("_word is not null"), "_word").drop("_word")
-    near = texts.join(short.where("_word is null").drop("_word"), F.col(text).contains(F.col(passage)))
-    hit = hit.unionByName(by_word)
-    return hit.where(F.col(text).contains(F.col(passage))).unionByName(near)
+    inner = let(w, lambda x: F.slice(x, F.lit(2), F.greatest(F.lit(0), F.size(x) - 2)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    p = passages.select(F.struct(*passages.columns).alias("_p"), F.col(passage).alias("_passage"), F.coalesce(F.array_min(runs(inner)), F.xxhash64(F.lit("word"), longest)).alias("_key"), (F.array_min(runs(inner)).isNull() & longest.isNull()).alias("_short"))
+    words = F.split(F.col(text), r"\s+")
+    keys = F.array_distinct(F.concat(F.coalesce(runs(words), F.array().cast("array<bigint>")), F.transform(words, lambda x: F.xxhash64(F.lit("word"), x))))
+    met = texts.select(F.col(id_col).alias("_id"), F.explode(keys).alias("_key")).join(p.where("not _short").select("_key", "_p", "_passage"), "_key").drop("_key")
+    t = texts.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.struct(*texts.columns).alias("_t"))
+    # Rows may repeat an id: each is looked at itself.
+    hit = t.join(met.distinct(), "_id").where(F.col("_text").contains(F.col("_passage")))
+    short = p.where("_short").select("_p", "_passage")
+    if short.limit(1).count():
+        few = short.count() <= 10_000
+        hit = hit.unionByName(t.join(F.broadcast(short) if few else short, F.col("_text").contains(F.col("_passage"))).select(*hit.columns))
+    names = [c for c in passages.columns if c not in texts.columns]
+    return hit.select(*[F.col("_t")[c].alias(c) for c in texts.columns], *[F.col("_p")[c].alias(c) for c in names])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.backends import FixedReader, read_pages
 from foliant.functions import arrays, geometry, money, text
-from foliant.operators import extraction, matching, quality, relational, supervision, tables
+from foliant.operators import centroids, extraction, matching, quality, relational, supervision, tables
 from foliant.plans.registry import query, table
 from foliant.session import spread
 
@@ -220,7 +220,7 @@ def relations_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return matching.contained(d, "text", b, "passage").select("doc_id", "item_id").distinct()
+    return matching.contained(d, "doc_id", "text", b, "passage").select("doc_id", "item_id").distinct()
 
 
 # --- quality
@@ -386,20 +386,10 @@ r AS (SELECT vec_id, centroid, d, row_number() OVER w AS r, lead(d) OVER w AS d2
 SELECT vec_id, CAST(centroid AS INT) AS centroid, round(d, 5) AS distance, round(greatest(0, least(1, (d2 - d) / d2)), 5) AS confidence FROM r WHERE r = 1""")
 def centroid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaler and class centroids from even ids, nearest centroid of all rows."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    train = e.where("vec_id % 2 = 0")
-    fit = train.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(_DIM)]).alias("mean"), F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(_DIM)]).alias("std"))
-
-    def scaled(df: DataFrame) -> DataFrame:  # fit is one row
-        z = F.transform(F.arrays_zip("x", "mean", "std"), lambda t: (t["x"] - t["mean"]) / F.when(t["std"] == 0, 1.0).otherwise(t["std"]))
-        return df.crossJoin(F.broadcast(fit)).select("vec_id", "label", z.alias("z"))
-
-    centroids = scaled(train).groupBy("label").agg(F.array(*[F.avg(F.col("z")[i]) for i in range(_DIM)]).alias("c"))
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("cs"))  # a row of as many structs as classes
-    near = F.array_sort(F.transform("cs", lambda c: F.struct(F.sqrt(arrays.squared_distance(F.col("z"), c["c"])).alias("d"), c["label"].alias("label"))))
-    out = scaled(e).crossJoin(F.broadcast(packed)).select("vec_id", near.alias("n"))
-    d, d2 = F.col("n")[0]["d"], F.try_element_at("n", F.lit(2))["d"]
-    return out.select("vec_id", F.col("n")[0]["label"].cast("int").alias("centroid"), r(d, 5).alias("distance"), r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d2 - d) / d2)), 5).alias("confidence"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    fit = centroids.fit_centroids(e.where("vec_id % 2 = 0"), "embedding", "label")
+    out = centroids.assign_centroids(e, fit, "embedding")
+    return out.select("vec_id", F.col("centroid").cast("int").alias("centroid"), r(F.col("distance"), 5).alias("distance"), r(F.col("confidence"), 5).alias("confidence"))
 
 
 @query("scaler_pca_kmeans")
