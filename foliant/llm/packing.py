@@ -60,13 +60,17 @@ class Pieces:
         return self.ids[0][np.repeat(first - before[:-1], n) + np.arange(before[-1])], before
 
 
+#: Texts that tell a tokenizer of the kind below from others.
+_PROBES = ("Hello World again", "one  two\tthree\n four", " It's ÉTÉ, (really) 3.5% ", "a-b c_d\r\ne")
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins across white space.
 
     The six ASCII white space characters end a token and are dropped by this kind of vocabulary,
     so ids are kept for each run between them. Most runs are Latin letters and then marks; their
     letters, in lower case, are kept apart, and new ones are encoded many in a call: the vocabulary marks
-    a word's last token. Any other run is encoded by itself. Runs of over ``WIDE`` bytes are not kept; ``most`` bounds the rest.
+    a word's last token. A tokenizer that isn't of this kind is refused. Any other run is encoded by itself. Runs of over ``WIDE`` bytes are not kept; ``most`` bounds the rest.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -74,6 +78,10 @@ class WordTokens:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab()
+        for t in _PROBES:
+            apart = [i for run in t.split() for i in self.tokenizer.encode(run.lower() if run.isascii() else run, add_special_tokens=False).ids]
+            if not any(w.endswith("</w>") for w in vocabulary) or self.tokenizer.encode(t, add_special_tokens=False).ids != apart:
+                raise ValueError("this tokenizer keeps case or joins across white space: its texts can't be encoded run by run")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()

@@ -504,6 +504,22 @@ def test_tokens_of_odd_texts():
             assert list(flat[a:b]) == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_are_refused():
+    import pathlib
+
+    folder = pathlib.Path(packing.default_tokenizer()).parent
+    others = [p for p in folder.glob("*.json") if p.name != "word_bpe_49k.json"]
+    refused = 0
+    for p in others:
+        try:
+            packing.WordTokens(str(p))
+        except ValueError:
+            refused += 1
+        except Exception:  # not a tokenizer's file
+            refused += 1
+    assert refused == len(others)
+
+
 def test_packing_odd(spark):
     d = odd(spark).withColumn("length", F.lit("clash"))
     got = packing.pack_sequences(d).collect()
