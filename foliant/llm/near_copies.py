@@ -6,9 +6,9 @@ linked are candidates, which are decided by their shingles themselves. A pair of
 0.8 shares a block of bits with a chance of 0.15 to 0.07 a trie and misses all tries less than once in a thousand times;
 at 0.9 once in some ten million.
 
-Texts of one set are one node. Inside a group of candidates, nodes are first compared with one representative, another one in
-each round, and at last every node with all nodes of the group that aren't in its component yet. So a dense group
-never makes all its pairs, and no pair of a group is left undecided but those whose answer can't change a component.
+Texts of one set are one node. First the spanning forests of the tries are decided, which are in proportion to the texts and join
+most of each group; then all links of the tries between nodes that aren't in one component yet. So
+a dense group of true copies doesn't make all its pairs, and no link of the tries is left undecided but those whose answer can't change a component.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from foliant.operators.graph import connected_components
 from .common import fresh, joined_hot, map_texts, slices, stage
 from .simhash import sketch_links
 
-SEED, WORDS, ROUNDS = 42, 24, 3
+SEED, WORDS = 42, 24
+MOST_APART = 295  # of all 1536 bits; two texts of similarity 0.8 differ in 233, give or take 14
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 64, WORDS, np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
@@ -91,32 +92,22 @@ def _alike(size: int, similarity: float):
     return run
 
 
-def _links(pool: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame | None:
-    """``pool`` (bucket: the group of candidates, node, n), ``texts`` (node, text) -> (node, root) of the nodes that are similar to another."""
-    links = tested = roots = None
-    for turn in range(ROUNDS + 1):
-        if roots is None:
-            m = pool.withColumn("root", F.col("node"))
-        else:
-            m = pool.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        rep = m.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("r"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        if turn < ROUNDS:
-            x = m.join(rep.select("bucket", F.col("r.node").alias("node2"), F.col("r.n").alias("n2"), F.col("r.root").alias("root2")), "bucket")
-        else:
-            open_ = m.join(rep.select("bucket"), "bucket", "left_semi")
-            x = open_.join(open_.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2")), "bucket").where("root < root2")
-        x = x.where((F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9))
-        x = x.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-        x = stage(x if tested is None else x.join(tested, ["u", "v"], "left_anti"))
-        if x.isEmpty():
-            continue
-        tested = x if tested is None else tested.unionByName(x)
-        pairs = x.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-        new = stage(map_texts(pairs.select("u", "v", "tu", "tv"), _alike(size, similarity), "u long, v long"))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = connected_components(links)
-    return roots
+def _alike_pairs(pairs: DataFrame, first: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of distinct pairs (u, v) of nodes, those that are similar enough: by their numbers of shingles, all fingerprints' bits, and then the shingles."""
+    side = first.select("node", "n", "words")
+    x = pairs.join(side.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("words").alias("wu")), "u").join(side.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("words").alias("wv")), "v")
+    apart = F.aggregate(F.zip_with("wu", "wv", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, k: a + k)
+    x = stage(x.where((F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (apart <= MOST_APART)).select("u", "v"))
+    x = x.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+    return stage(map_texts(x.select("u", "v", "tu", "tv"), _alike(size, similarity), "u long, v long"))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _distinct_nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
 def _whole(roots: DataFrame) -> DataFrame:
@@ -137,13 +128,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     prints = stage(map_texts(slim, _nodes(shingle, to_arrow_type(kind)), f"id {kind.simpleString()}, th long, node long, n long, words array<long>"))
     first = prints.groupBy("node").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.first("words").alias("words"), F.count("*").alias("rows"))
     first = stage(first)
-    groups = _whole(connected_components(sketch_links(first.where("n > 0").select("node", "words"), WORDS)))
-    pool = stage(first.select("node", "n").join(groups, "node").select(F.col("root").alias("bucket"), "node", "n"))
+    sketches = first.where("n > 0").select("node", "words")
+    forest = stage(_distinct(sketch_links(sketches, WORDS)))
     roots = None
-    if not pool.isEmpty():
-        wanted = first.join(pool.select("node").distinct(), "node", "left_semi").select("th", "node")
-        texts = stage(slim.select("th", "text").join(wanted, "th").groupBy("node").agg(F.min("text").alias("text")))
-        roots = _links(pool, texts, shingle, similarity)
+    if not forest.isEmpty():
+        met = _distinct_nodes(forest)
+        texts = stage(slim.select("th", "text").join(first.join(met, "node", "left_semi").select("th", "node"), "th").groupBy("node").agg(F.min("text").alias("text")))
+        links = _alike_pairs(forest, first, texts, shingle, similarity)
+        known = _whole(connected_components(links))
+        left = sketches.join(met, "node", "left_semi").join(known, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
+        more = _distinct(sketch_links(left, WORDS, cross=True)).join(forest, ["u", "v"], "left_anti")
+        links = links.unionByName(_alike_pairs(more, first, texts, shingle, similarity))
+        if not links.isEmpty():
+            roots = connected_components(links)
     member = first.select("node", "rows", F.col("node").alias("group"), F.col("first").alias("component_id"))
     if roots is not None:
         # Only nodes that are alike others have a group; the nodes of one are few beside its rows.

@@ -87,11 +87,11 @@ def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = further
 
 
-def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int, more: np.ndarray | None = None, budget: int = 0, most: int = 1 << 20) -> np.ndarray:
+def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int, more: np.ndarray | None = None, budget: int = 0, most: int = 1 << 20, root: np.ndarray | None = None, found: list | None = None) -> np.ndarray:
     """Labels of a spanning forest of all links inside each root range.
 
     With ``more`` bits, another word for each value, two values link if they differ in ``radius`` bits at most and in
-    ``budget`` bits of both words together.
+    ``budget`` bits of both words together. With ``root``, nothing is united and the links between values of different roots go to ``found``.
 
     ``value``: uint64, ascending and distinct inside each range [start, end), a
     trie in itself: a node of depth d is the run of values with one d-bit prefix.
@@ -107,8 +107,8 @@ def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: i
             for cut in (slice(0, half), slice(half, None)):
                 stack.append((depth, a0[cut], a1[cut], b0[cut], b1[cut], err[cut]))
             continue
-        small = (a1 - a0) * (b1 - b0) <= (64 if depth < 60 else 256)
-        label = _leaf_links(value, label, a0[small], a1[small], b0[small], b1[small], radius, more, budget, most)
+        small = ((a1 - a0) * (b1 - b0) <= (64 if depth < 60 else 256)) | (depth >= BITS - 1)
+        label = _leaf_links(value, label, a0[small], a1[small], b0[small], b1[small], radius, more, budget, most, root, found)
         a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
@@ -128,7 +128,7 @@ def trie_forest(value: np.ndarray, start: np.ndarray, end: np.ndarray, radius: i
     return label
 
 
-def _leaf_links(value, label, a0, a1, b0, b1, radius: int, more, budget: int, most: int) -> np.ndarray:
+def _leaf_links(value, label, a0, a1, b0, b1, radius: int, more, budget: int, most: int, root=None, found=None) -> np.ndarray:
     pairs = (a1 - a0) * (b1 - b0)
     whole = np.cumsum(pairs)
     at = 0
@@ -143,12 +143,16 @@ def _leaf_links(value, label, a0, a1, b0, b1, radius: int, more, budget: int, mo
         near = (i < j) & (apart <= radius)
         if more is not None:
             near &= apart + np.bitwise_count(more[i] ^ more[j]) <= budget
-        label = _united(label, i[near], j[near])
+        if found is None:
+            label = _united(label, i[near], j[near])
+        else:
+            near &= root[i] != root[j]
+            found.append((i[near], j[near]))
         at = to
     return label
 
 
-def _forest(radius: int, rows: int, budget: int = 0):
+def _forest(radius: int, rows: int, budget: int = 0, cross: bool = False):
     """Tasks' rows (task key, rotated fingerprint, node, perhaps another word), in order of the key -> edges of nodes."""
 
     def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -158,6 +162,17 @@ def _forest(radius: int, rows: int, budget: int = 0):
         order = np.lexsort((rot, key))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[order][1:] != key[order][:-1]) | (rot[order][1:] != rot[order][:-1])
+        if cross:
+            node, root = t.column(2).to_numpy(), t.column(4).to_numpy()
+            order = np.lexsort((node, rot, key))
+            same = (key[order][1:] == key[order][:-1]) & (node[order][1:] == node[order][:-1]) & (rot[order][1:] == rot[order][:-1])
+            order = order[np.concatenate([[True], ~same])]
+            key = key[order]
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found: list = []
+            trie_forest(rot[order], cut, np.append(cut[1:], len(key)), radius, more[order], budget, root=root[order], found=found)
+            i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(node[order[i]]), pa.array(node[order[j]])], ["u", "v"])
         # Equal leaves of a subtrie are linked to their first, which alone goes on.
         first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         twins, firsts = order[~fresh], first[~fresh]
@@ -205,7 +220,7 @@ def _tops(word: Column, sizes: list[int], base: int) -> list[Column]:
     return out
 
 
-def _joined(leaves: DataFrame, radius: int, subtrie_rows: int, budget: int = 0) -> DataFrame:
+def _joined(leaves: DataFrame, radius: int, subtrie_rows: int, budget: int = 0, cross: bool = False) -> DataFrame:
     """``leaves`` (rot, top, node, perhaps more) -> (u, v): a spanning forest of the links of each subtrie.
 
     A subtrie above ``subtrie_rows`` leaves is dealt into chunks, and each pair of chunks is a task's unit.
@@ -222,9 +237,9 @@ def _joined(leaves: DataFrame, radius: int, subtrie_rows: int, budget: int = 0)
         tasks = leaves.withColumn("mine", mine).withColumn("other", partner)
         pair = F.xxhash64("top", F.least("mine", "other"), F.greatest("mine", "other"))
         tasks = tasks.withColumn("key", F.when(F.col("chunks") == 1, F.col("top")).otherwise(pair))
-    tasks = tasks.select("key", "rot", "node", *["more"] * bool(budget)).repartition("key").sortWithinPartitions("key")
+    tasks = tasks.select("key", "rot", "node", *["more"] * bool(budget), *["root"] * cross).repartition("key").sortWithinPartitions("key")
     kind = leaves.schema["node"].dataType.simpleString()
-    return map_arrow(tasks, _forest(radius, max(subtrie_rows, 1), budget), f"u {kind}, v {kind}")
+    return map_arrow(tasks, _forest(radius, max(subtrie_rows, 1), budget, cross), f"u {kind}, v {kind}")
 
 
 def fingerprint_links(prints: DataFrame, radius: int = 4, subtrie_rows: int = 200_000) -> DataFrame:
@@ -235,19 +250,21 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, subtrie_rows: int = 20
     return _joined(leaves, radius, subtrie_rows)
 
 
-def sketch_links(sketches: DataFrame, words: int, block: int = 16, radius: int = 20, budget: int = 34, subtrie_rows: int = 200_000) -> DataFrame:
+def sketch_links(sketches: DataFrame, words: int, block: int = 16, radius: int = 20, budget: int = 34, subtrie_rows: int = 200_000, cross: bool = False) -> DataFrame:
     """``sketches`` (node, words: that many fingerprints by independent hashes) -> (u, v): links of a wider radius.
 
     Wide radii leave no block equal for sure, so each word is built into tries with each of its whole blocks of ``block`` bits on
     top, and a pair is found if any block agrees; it links if the word differs in ``radius`` bits at
-    most and in ``budget`` bits together with the next word.
+    most and in ``budget`` bits together with the next word. With ``cross`` and a column root, all links between different roots come
+    out, else a spanning forest of each subtrie.
     """
     sizes = [block] * (BITS // block)
-    each = sketches.select("node", "words", F.posexplode("words").alias("i", "word"))
-    each = each.select("node", "i", "word", F.element_at("words", (F.col("i") + 1) % words + 1).alias("more"))
-    leaves = each.select("node", "i", "more", F.explode(F.array(*_tops(F.col("word"), sizes, 0))).alias("x"))
-    leaves = leaves.select("x.rot", (F.col("x.top") + F.col("i") * (len(sizes) << block)).alias("top"), "more", "node")
-    return _joined(leaves, radius, subtrie_rows, budget)
+    also = ["root"] * cross
+    each = sketches.select("node", "words", *also, F.posexplode("words").alias("i", "word"))
+    each = each.select("node", *also, "i", "word", F.element_at("words", (F.col("i") + 1) % words + 1).alias("more"))
+    leaves = each.select("node", *also, "i", "more", F.explode(F.array(*_tops(F.col("word"), sizes, 0))).alias("x"))
+    leaves = leaves.select("x.rot", (F.col("x.top") + F.col("i") * (len(sizes) << block)).alias("top"), "more", "node", *also)
+    return _joined(leaves, radius, subtrie_rows, budget, cross)
 
 
 def _component_ids(first: DataFrame, links: DataFrame) -> DataFrame:
