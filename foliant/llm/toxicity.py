@@ -464,7 +464,7 @@ def _scored(machine: Machine, text_col: str, width: int):
     return run
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 4000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", most_toxic: int = 1200, most_harmless: int = 3000, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with toxicity (double, 0 to 1).
 
     Learns from at most ``most_toxic`` and ``most_harmless`` documents of ``df`` that ``labels``
