@@ -7,13 +7,17 @@ linked are candidates, which are decided by their shingles themselves. A pair of
 at 0.9 once in some ten million.
 
 Texts of one set are one node. First the spanning forests of the tries are decided, which are in proportion to the texts and join
-most of each group; then all links of the tries between nodes that aren't in one component yet. So
-a dense group of true copies doesn't make all its pairs, and no link of the tries is left undecided but those whose answer can't change a component.
+most of each group. Forest links that fail tie components into open groups, and every link of the tries that could still change a component
+lies inside one (where texts are equal in a trie's word, their links count as the first one's). An open group goes to a task as it is, in chunks if it is large, and there all its pairs of different components are
+decided; only a forest of the links found comes out. So neither a dense group of true copies nor one of texts just
+under the similarity makes rows for its pairs, and no link of the tries is left undecided but those whose answer can't change a component.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
 
-from .common import fresh, joined_hot, map_texts, slices, stage
-from .simhash import sketch_links
+from .common import fresh, joined_hot, map_arrow, map_texts, slices, stage
+from .simhash import _united, sketch_links
 
 SEED, WORDS = 42, 24
 MOST_APART = 295  # of all 1536 bits; two texts of similarity 0.8 differ in 233, give or take 14
@@ -102,6 +106,95 @@ def _alike_pairs(pairs: DataFrame, first: DataFrame, texts: DataFrame, size: int
     return stage(map_texts(x.select("u", "v", "tu", "tv"), _alike(size, similarity), "u long, v long"))
 
 
+def _united_group(root: np.ndarray, mine: np.ndarray, words: np.ndarray, sets: list[set], similarity: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of a forest that unites the components ``root`` by all links between them.
+
+    If ``mine`` has two values, only pairs across them are compared: other tasks have the rest. About ``most`` pairs are held at a time.
+    """
+    _, which, m = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, -m[which]))  # the largest component first: none of its pairs is looked at
+    which, mine, words = which[order], mine[order], words[order]
+    sets = [sets[k] for k in order]
+    starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    label = np.repeat(starts, np.diff(np.append(starts, len(which))))
+    # What two texts share is in both, so it is no more than the lesser has in common with any other of them.
+    times = Counter(itertools.chain.from_iterable(sets))
+    n = np.array([len(x) for x in sets], np.int64)
+    shared = np.array([sum(times[k] > 1 for k in x) for x in sets], np.int64)
+    across = mine.min() != mine.max()
+    at = int(starts[1]) if len(starts) > 1 else len(which)
+    while at < len(which):
+        to = min(len(which), at + max(1, most // len(which)))
+        rows, cols = np.arange(at, to)[:, None], np.arange(to)[None, :]
+        open_ = (cols < rows) & (label[rows] != label[cols]) & (np.minimum(n[rows], n[cols]) >= similarity * np.maximum(n[rows], n[cols]) - 1e-9)
+        if across:
+            open_ &= mine[rows] != mine[cols]
+        open_ &= (1 + similarity) * np.minimum(shared[rows], shared[cols]) >= similarity * (n[rows] + n[cols]) - 1e-9
+        i, j = np.nonzero(open_)
+        i += at
+        apart = np.zeros(len(i), np.int64)
+        for k in range(words.shape[1]):
+            apart += np.bitwise_count(words[i, k] ^ words[j, k])
+        near = np.flatnonzero(apart <= MOST_APART)
+        near = near[np.argsort(apart[near], kind="stable")]
+        for cut in range(0, len(near), 1024):  # the nearest first: most of the others are united then
+            a, b = i[near[cut : cut + 1024]], j[near[cut : cut + 1024]]
+            apart_yet = label[a] != label[b]
+            a, b = a[apart_yet], b[apart_yet]
+            both = np.array([len(sets[x] & sets[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+            alike = both >= similarity * (n[a] + n[b] - both) - 1e-9
+            label = _united(label, a[alike], b[alike])
+        at = to
+    moved = starts[label[starts] != starts]
+    return order[moved], order[label[moved]]
+
+
+def _united_groups(size: int, similarity: float):
+    """Tasks' rows (key, mine, node, root, words, text), in order of the key -> (u, v): links of nodes that unite what is alike in a key."""
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node = t.column("node").to_numpy()
+        words = t.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        number: dict[bytes, int] = {}
+        sets = [{number.setdefault(s, len(number)) for s in shingles(x.as_py(), size)} for x in t.column("text")]
+        i, j = _united_group(t.column("root").to_numpy(), t.column("mine").to_numpy(), words, sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            key = b.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else []
+            for at, to in itertools.pairwise(cuts):
+                if held and held[0].column(0)[0].as_py() != key[at]:
+                    yield links(held)
+                    held = []
+                held.append(b.slice(at, to - at))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _links_in_open_groups(open_: DataFrame, nodes: DataFrame, first: DataFrame, texts: DataFrame, size: int, similarity: float, chunk_rows: int, chunk_shingles: int) -> DataFrame:
+    """(u, v) that unite the components of ``nodes`` (node, root) by all links of the groups that ``open_`` (u, v: roots) ties together.
+
+    A group above ``chunk_rows`` nodes or ``chunk_shingles`` shingles is dealt into chunks, and each pair of chunks is a task's unit.
+    """
+    groups = _whole(connected_components(open_)).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    of = nodes.join(groups, "root").join(first.select("node", "n", "words"), "node")
+    of = stage(of)
+    sizes = of.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    # Both ends of a group of two are a forest link, which is decided.
+    sizes = stage(sizes.where("rows > 2").select("group", "rows", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("n") / chunk_shingles)).cast("long").alias("chunks")))
+    of = joined_hot(of.drop("n"), sizes, "group", "rows", of.count())
+    of = of.join(texts, "node").withColumn("mine", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    of = of.withColumn("key", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
+    tasks = of.select("key", "mine", "node", "root", "words", "text").repartition("key").sortWithinPartitions("key")
+    return stage(map_arrow(tasks, _united_groups(size, similarity), "u long, v long"))
+
+
 def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -115,7 +208,7 @@ def _whole(roots: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, chunk_rows: int = 4_000, chunk_shingles: int = 500_000) -> DataFrame:
     """One row for each row of ``df``: (id, th, group, component_id), a name of its component and the smallest id in it.
 
     ``th`` is xxhash64 of the text. Null and wordless texts have one empty set and are copies of each other. Null ids
@@ -135,12 +228,18 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         met = _distinct_nodes(forest)
         texts = stage(slim.select("th", "text").join(first.join(met, "node", "left_semi").select("th", "node"), "th").groupBy("node").agg(F.min("text").alias("text")))
         links = _alike_pairs(forest, first, texts, shingle, similarity)
-        known = _whole(connected_components(links))
-        left = sketches.join(met, "node", "left_semi").join(known, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
-        more = _distinct(sketch_links(left, WORDS, cross=True)).join(forest, ["u", "v"], "left_anti")
-        links = links.unionByName(_alike_pairs(more, first, texts, shingle, similarity))
-        if not links.isEmpty():
-            roots = connected_components(links)
+        known = connected_components(links)
+        rooted = stage(met.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        open_ = forest.join(links, ["u", "v"], "left_anti")
+        for end in ("u", "v"):
+            open_ = open_.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+        open_ = stage(open_.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).where("u <> v").distinct())
+        if not open_.isEmpty():
+            more = _links_in_open_groups(open_, rooted, first, texts, shingle, similarity, chunk_rows, chunk_shingles)
+            if not more.isEmpty():
+                known = connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        if not known.isEmpty():
+            roots = known
     member = first.select("node", "rows", F.col("node").alias("group"), F.col("first").alias("component_id"))
     if roots is not None:
         # Only nodes that are alike others have a group; the nodes of one are few beside its rows.

@@ -107,3 +107,33 @@ def test_odd_ids(spark):
     got = sorted(map(str, corpus_pipeline.keep_one_of_each(spark, docs, "").collect()))
     assert got == sorted(["Row(doc_id=1, text='A  b')", "Row(doc_id=None, text='c')", "Row(doc_id=None, text=None)"])
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def dense():
+    """One group of copies of a text, half of them just under the similarity to all others."""
+    rng, base = random.Random(11), [f"w{k}" for k in range(140)]
+    out = {}
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 6, 7])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(3000)}"
+        out[i] = " ".join(w)
+    return out, slow_groups(out)
+
+
+def test_a_dense_group_makes_no_rows_for_its_pairs(spark, dense, monkeypatch):
+    texts, want = dense
+    assert 100 < len(set(want.values())) < 400  # one large component and many texts that are alike none
+    given, decide = [], near_copies._alike_pairs
+    monkeypatch.setattr(near_copies, "_alike_pairs", lambda pairs, *a: given.append(pairs.count()) or decide(pairs, *a))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == want
+    assert sum(given) <= 96 * len(texts), given  # a forest of each trie; all pairs are 124,750
+
+
+def test_chunks_of_a_dense_group_decide_all_pairs(spark, dense):
+    texts, want = dense
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for how in ({"chunk_rows": 130}, {"chunk_shingles": 20_000}):
+        assert {r["id"]: r["component_id"] for r in near_copies.near_copies(docs, **how).collect()} == want
