@@ -6,16 +6,15 @@ linked are candidates, which are decided by their shingles themselves. A pair of
 0.8 shares a block of bits with a chance of 0.15 to 0.07 a trie and misses all tries less than once in a thousand times;
 at 0.9 once in some ten million.
 
-Texts of one set are one node. First the spanning forests of the tries are decided, which are in proportion to the texts and join
-most of each group. Forest links that fail tie components into open groups, and every link of the tries that could still change a component
-lies inside one (where texts are equal in a trie's word, their links count as the first one's). An open group goes to a task as it is, in chunks if it is large, and there all its pairs of different components are
-decided; only a forest of the links found comes out. So neither a dense group of true copies nor one of texts just
-under the similarity makes rows for its pairs, and no link of the tries is left undecided but those whose answer can't change a component.
+Texts of one set are one node. The forests of the tries, which are in proportion to the texts, tie the nodes into groups, and every link
+of the tries lies inside one (where texts are equal in a trie's word, their links count as the first one's). A group goes to a task as it is,
+in chunks if it is large, and there its pairs are decided; only a forest of the links found comes out. So neither a dense group of
+true copies nor one of texts just under the similarity makes rows for its pairs. In a task neighbours by each fingerprint are decided first, which joins most of a group;
+after that all pairs of different components, so that no pair is left undecided but those whose answer can't change a component.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -79,59 +78,23 @@ def _nodes(size: int, field: pa.DataType):
     return run
 
 
-def _alike(size: int, similarity: float):
-    """(u, v, text of u, text of v) -> (u, v) of the pairs that are similar enough."""
+def _united_group(mine: np.ndarray, words: np.ndarray, sets: list[set], similarity: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of a forest of the links between sets that are alike.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = functools.lru_cache(maxsize=16)(lambda t: shingles(t, size))
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = of(s.as_py()), of(t.as_py())
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            at = pa.array(np.flatnonzero(np.array(keep, bool)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
-
-    return run
-
-
-def _alike_pairs(pairs: DataFrame, first: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of distinct pairs (u, v) of nodes, those that are similar enough: by their numbers of shingles, all fingerprints' bits, and then the shingles."""
-    side = first.select("node", "n", "words")
-    x = pairs.join(side.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("words").alias("wu")), "u").join(side.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("words").alias("wv")), "v")
-    apart = F.aggregate(F.zip_with("wu", "wv", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, k: a + k)
-    x = stage(x.where((F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (apart <= MOST_APART)).select("u", "v"))
-    x = x.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-    return stage(map_texts(x.select("u", "v", "tu", "tv"), _alike(size, similarity), "u long, v long"))
-
-
-def _united_group(root: np.ndarray, mine: np.ndarray, words: np.ndarray, sets: list[set], similarity: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of a forest that unites the components ``root`` by all links between them.
-
-    If ``mine`` has two values, only pairs across them are compared: other tasks have the rest. About ``most`` pairs are held at a time.
+    If ``mine`` has two values, the rest within each may be left to other tasks. About ``most`` pairs are held at a time.
     """
-    _, which, m = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((which, -m[which]))  # the largest component first: none of its pairs is looked at
-    which, mine, words = which[order], mine[order], words[order]
-    sets = [sets[k] for k in order]
-    starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-    label = np.repeat(starts, np.diff(np.append(starts, len(which))))
+    n = np.array([len(x) for x in sets], np.int64)
     # What two texts share is in both, so it is no more than the lesser has in common with any other of them.
     times = Counter(itertools.chain.from_iterable(sets))
-    n = np.array([len(x) for x in sets], np.int64)
     shared = np.array([sum(times[k] > 1 for k in x) for x in sets], np.int64)
-    across = mine.min() != mine.max()
-    at = int(starts[1]) if len(starts) > 1 else len(which)
-    while at < len(which):
-        to = min(len(which), at + max(1, most // len(which)))
-        rows, cols = np.arange(at, to)[:, None], np.arange(to)[None, :]
-        open_ = (cols < rows) & (label[rows] != label[cols]) & (np.minimum(n[rows], n[cols]) >= similarity * np.maximum(n[rows], n[cols]) - 1e-9)
-        if across:
-            open_ &= mine[rows] != mine[cols]
-        open_ &= (1 + similarity) * np.minimum(shared[rows], shared[cols]) >= similarity * (n[rows] + n[cols]) - 1e-9
-        i, j = np.nonzero(open_)
-        i += at
+    label = np.arange(len(sets))
+
+    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sizes = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        return sizes & (label[i] != label[j]) & ((1 + similarity) * np.minimum(shared[i], shared[j]) >= similarity * (n[i] + n[j]) - 1e-9)
+
+    def decide(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
         apart = np.zeros(len(i), np.int64)
         for k in range(words.shape[1]):
             apart += np.bitwise_count(words[i, k] ^ words[j, k])
@@ -139,18 +102,36 @@ def _united_group(root: np.ndarray, mine: np.ndarray, words: np.ndarray, sets: l
         near = near[np.argsort(apart[near], kind="stable")]
         for cut in range(0, len(near), 1024):  # the nearest first: most of the others are united then
             a, b = i[near[cut : cut + 1024]], j[near[cut : cut + 1024]]
-            apart_yet = label[a] != label[b]
-            a, b = a[apart_yet], b[apart_yet]
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
             both = np.array([len(sets[x] & sets[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
             alike = both >= similarity * (n[a] + n[b] - both) - 1e-9
             label = _united(label, a[alike], b[alike])
+
+    for k in range(words.shape[1]):
+        order = np.argsort(words[:, k], kind="stable")
+        i, j = order[:-1], order[1:]
+        able = possible(i, j)
+        decide(i[able], j[able])
+    # The largest component goes first: none of its own pairs is looked at.
+    m = np.bincount(label, minlength=len(label))
+    order = np.lexsort((label, -m[label]))
+    across, at = mine.min() != mine.max(), int(m.max())
+    while at < len(order):
+        to = min(len(order), at + max(1, most // len(order)))
+        rows, cols = order[at:to][:, None], order[None, :to]
+        open_ = possible(rows, cols) & (np.arange(to)[None, :] < np.arange(at, to)[:, None])
+        if across:
+            open_ &= mine[rows] != mine[cols]
+        i, j = np.nonzero(open_)
+        decide(order[at + i], order[j])
         at = to
-    moved = starts[label[starts] != starts]
-    return order[moved], order[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
 
 
 def _united_groups(size: int, similarity: float):
-    """Tasks' rows (key, mine, node, root, words, text), in order of the key -> (u, v): links of nodes that unite what is alike in a key."""
+    """Tasks' rows (key, mine, node, words, text), in order of the key -> (u, v): links of nodes that unite what is alike in a key."""
 
     def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
@@ -158,7 +139,7 @@ def _united_groups(size: int, similarity: float):
         words = t.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
         number: dict[bytes, int] = {}
         sets = [{number.setdefault(s, len(number)) for s in shingles(x.as_py(), size)} for x in t.column("text")]
-        i, j = _united_group(t.column("root").to_numpy(), t.column("mine").to_numpy(), words, sets, similarity)
+        i, j = _united_group(t.column("mine").to_numpy(), words, sets, similarity)
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,21 +158,20 @@ def _united_groups(size: int, similarity: float):
     return run
 
 
-def _links_in_open_groups(open_: DataFrame, nodes: DataFrame, first: DataFrame, texts: DataFrame, size: int, similarity: float, chunk_rows: int, chunk_shingles: int) -> DataFrame:
-    """(u, v) that unite the components of ``nodes`` (node, root) by all links of the groups that ``open_`` (u, v: roots) ties together.
+def _links_in_groups(groups: DataFrame, first: DataFrame, slim: DataFrame, size: int, similarity: float, chunk_rows: int, chunk_shingles: int) -> DataFrame:
+    """(u, v) that unite the nodes of each group (node, group) by all links in it.
 
     A group above ``chunk_rows`` nodes or ``chunk_shingles`` shingles is dealt into chunks, and each pair of chunks is a task's unit.
     """
-    groups = _whole(connected_components(open_)).select(F.col("node").alias("root"), F.col("root").alias("group"))
-    of = nodes.join(groups, "root").join(first.select("node", "n", "words"), "node")
-    of = stage(of)
+    of = stage(groups.join(first.select("node", "n", "th"), "node"))
     sizes = of.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    # Both ends of a group of two are a forest link, which is decided.
-    sizes = stage(sizes.where("rows > 2").select("group", "rows", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("n") / chunk_shingles)).cast("long").alias("chunks")))
+    sizes = stage(sizes.select("group", "rows", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("n") / chunk_shingles)).cast("long").alias("chunks")))
     of = joined_hot(of.drop("n"), sizes, "group", "rows", of.count())
-    of = of.join(texts, "node").withColumn("mine", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    texts = slim.join(of.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
+    of = of.join(first.select("node", "words"), "node").join(texts, "th")
+    of = of.withColumn("mine", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     of = of.withColumn("key", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
-    tasks = of.select("key", "mine", "node", "root", "words", "text").repartition("key").sortWithinPartitions("key")
+    tasks = of.select("key", "mine", "node", "words", "text").repartition("key").sortWithinPartitions("key")
     return stage(map_arrow(tasks, _united_groups(size, similarity), "u long, v long"))
 
 
@@ -199,10 +179,6 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _distinct_nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-
-
 def _whole(roots: DataFrame) -> DataFrame:
     """(node, root) with a row for each root too."""
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -225,21 +201,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     forest = stage(_distinct(sketch_links(sketches, WORDS)))
     roots = None
     if not forest.isEmpty():
-        met = _distinct_nodes(forest)
-        texts = stage(slim.select("th", "text").join(first.join(met, "node", "left_semi").select("th", "node"), "th").groupBy("node").agg(F.min("text").alias("text")))
-        links = _alike_pairs(forest, first, texts, shingle, similarity)
-        known = connected_components(links)
-        rooted = stage(met.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-        open_ = forest.join(links, ["u", "v"], "left_anti")
-        for end in ("u", "v"):
-            open_ = open_.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
-        open_ = stage(open_.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).where("u <> v").distinct())
-        if not open_.isEmpty():
-            more = _links_in_open_groups(open_, rooted, first, texts, shingle, similarity, chunk_rows, chunk_shingles)
-            if not more.isEmpty():
-                known = connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-        if not known.isEmpty():
-            roots = known
+        groups = _whole(connected_components(forest)).select("node", F.col("root").alias("group"))
+        links = _links_in_groups(groups, first, slim.select("th", "text"), shingle, similarity, chunk_rows, chunk_shingles)
+        if not links.isEmpty():
+            roots = connected_components(links)
     member = first.select("node", "rows", F.col("node").alias("group"), F.col("first").alias("component_id"))
     if roots is not None:
         # Only nodes that are alike others have a group; the nodes of one are few beside its rows.

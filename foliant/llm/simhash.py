@@ -165,6 +165,14 @@ def _forest(radius: int, rows: int, budget: int = 0):
         key, rot = key[order], rot[order]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         label = trie_forest(rot, cut, np.append(cut[1:], len(key)), radius, None if more is None else more[order], budget)
+        if budget:
+            # Stars around the smallest node: tries of the same group give many of the same links.
+            node = t.column(2).to_numpy()
+            least = node[order].copy()
+            np.minimum.at(least, label, node[order])
+            u = np.concatenate([node[order], node[twins]])
+            v = np.concatenate([least[label], least[label][np.cumsum(fresh) - 1][~fresh]])
+            return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
         linked = np.flatnonzero(label != np.arange(len(label)))
         node = t.column(2).combine_chunks()
         node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node

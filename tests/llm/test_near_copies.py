@@ -125,11 +125,11 @@ def dense():
 def test_a_dense_group_makes_no_rows_for_its_pairs(spark, dense, monkeypatch):
     texts, want = dense
     assert 100 < len(set(want.values())) < 400  # one large component and many texts that are alike none
-    given, decide = [], near_copies._alike_pairs
-    monkeypatch.setattr(near_copies, "_alike_pairs", lambda pairs, *a: given.append(pairs.count()) or decide(pairs, *a))
+    made, links = [], near_copies.sketch_links
+    monkeypatch.setattr(near_copies, "sketch_links", lambda *a, **how: made.append(links(*a, **how)) or made[-1])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     assert {r["id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == want
-    assert sum(given) <= 96 * len(texts), given  # a forest of each trie; all pairs are 124,750
+    assert sum(x.count() for x in made) <= 96 * len(texts)  # a forest of each trie; all pairs are 124,750
 
 
 def test_chunks_of_a_dense_group_decide_all_pairs(spark, dense):
