@@ -135,10 +135,9 @@ def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.when(k % 3 == 0, "Grand total: 150.00").otherwise("Grand total: 108.00")
     mail = F.concat(F.lit("a"), k.cast("string"), F.lit("@mail.example"))
     texts = F.array(F.lit("ACME TRADING"), F.lit("Subtotal: 100.00"), F.lit("Tax: 8.00"), total, mail, F.when(k % 4 == 0, F.concat(F.lit("b"), mail)).otherwise("."))
-    lines = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(texts).alias("line", "text"))
-    y = F.col("line") * 12.0
-    lines = lines.select("c_custkey", "line", "text", F.lit(1.0).alias("x0"), y.alias("y0"), F.lit(90.0).alias("x1"), (y + 10).alias("y1"), F.lit(0.8).alias("c"))
-    f = extraction.page_fields(lines, ["c_custkey"], "line", "text", ["x0", "y0", "x1", "y1"], "c")
+    lines = F.transform(texts, lambda t, i: F.struct(i.alias("line"), t.alias("text"), F.lit(0.8).alias("confidence"), F.array(F.lit(1.0), i * 12.0, F.lit(90.0), i * 12.0 + 10).alias("box")))
+    pages = table(spark, sf_dir, "customer").select("c_custkey", F.explode_outer(F.array(lines)).alias("lines"))
+    f = pages.select("c_custkey", F.explode_outer(extraction.page_evidence(F.col("lines"))).alias("x")).where("x is not null").select("c_custkey", "x.*")
     return f.select("c_custkey", "field", "value", r(F.col("confidence")).alias("confidence"), "status", "method", F.col("box")[1].alias("y0"))
 
 
