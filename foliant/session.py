@@ -91,3 +91,13 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores, splits = df.sparkSession.sparkContext.defaultParallelism, plan.toRdd().getNumPartitions()
     return df.repartition(min(cores, 8 * max(1, splits))) if splits < cores else df
+
+
+def dealt(df: DataFrame, *keys: str, megabytes: int = 16) -> DataFrame:
+    """``df`` dealt out by keys, about so many megabytes a task by the plan's estimate, and no fewer tasks than usual.
+
+    What follows by the same keys needs no other exchange, and what a task holds doesn't grow with the input.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, min(100_000, size // (megabytes << 20))), *keys)
