@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import dealt
+
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[str], names: tuple[str, str] = ("left_only", "right_only")) -> DataFrame:
     """Keys that only one side has: (keys..., side)."""
-    a, b = left.select(*on).distinct(), right.select(*on).distinct()
-    return a.join(b, on, "left_anti").withColumn("side", F.lit(names[0])).unionByName(b.join(a, on, "left_anti").withColumn("side", F.lit(names[1])))
+    both = left.select(*on, F.lit(True).alias("_left")).unionByName(right.select(*on, F.lit(False).alias("_left")))
+    keys = dealt(both, *on).groupBy(*on).agg(F.max("_left").alias("_a"), F.max(~F.col("_left")).alias("_b"))
+    lone = reduce(lambda x, k: x | F.col(k).isNull(), on, F.lit(False))  # a null equals nothing
+    sides = F.array_compact(F.array(F.when(F.col("_a") & (lone | ~F.col("_b")), names[0]), F.when(F.col("_b") & (lone | ~F.col("_a")), names[1])))
+    return keys.where(lone | (F.col("_a") != F.col("_b"))).select(*on, F.explode(sides).alias("side"))
 
 
 def required_join(left: DataFrame, right: DataFrame, on: list[str], what: str = "row") -> DataFrame:

@@ -100,4 +100,5 @@ def dealt(df: DataFrame, *keys: str, megabytes: int = 16) -> DataFrame:
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(usual, min(100_000, size // (megabytes << 20))), *keys)
+    known = size < 1 << 50  # Spark takes rows that don't come from files for endless
+    return df.repartition(max(usual, size // (megabytes << 20)) if known else usual, *keys)
